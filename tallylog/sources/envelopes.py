@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tallylog.functions.json_text import VARIANT_MAP
 from tallylog.model import ENTRY_FIELDS
 
+# How much a file stream takes in one micro-batch.
+MICRO_BATCH_BYTES = 64 * 2**30
+
 _INTEGER_KEY = r"^(0|[1-9]\d{0,9})$"
 _INTEGER_KEY_END = 2**32 - 1
 
@@ -21,7 +24,9 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     return _from_files(spark.read.format("text").option("wholetext", True).load(path))
 
 
-def stream_bodies(spark: SparkSession, path: str, max_bytes: str = "10g") -> DataFrame:
+def stream_bodies(
+    spark: SparkSession, path: str, max_bytes: int = MICRO_BATCH_BYTES
+) -> DataFrame:
     """Files as they arrive, one body each, at most ``max_bytes`` per micro-batch."""
     reader = spark.readStream.format("text").option("wholetext", True)
     return _from_files(reader.option("maxBytesPerTrigger", max_bytes).load(path))

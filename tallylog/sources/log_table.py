@@ -31,6 +31,16 @@ def _create(spark: SparkSession, name: str, schema: T.StructType, tail: str) ->
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {tail}")
 
 
+def _current(spark: SparkSession, name: str) -> DataFrame:
+    """The table with its present files.
+
+    A session keeps the file list of a table it has read, and a stream writes
+    from a session of its own, so the list is dropped first.
+    """
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
 def _write(rows: DataFrame, table: str) -> int:
     """Append by position; returns how many rows the finished job wrote."""
     written = Observation()
@@ -47,7 +57,7 @@ class LogTable:
         _create(spark, name, model.LOG_SCHEMA, "PARTITIONED BY (day)")
 
     def scan(self) -> DataFrame:
-        return self.spark.table(self.name)
+        return _current(self.spark, self.name)
 
     def _prepared(self, rows: DataFrame, load: str) -> DataFrame:
         """Rows in table shape, checked, and laid out for reading.
@@ -87,7 +97,7 @@ class LogTable:
         days = dated.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
         if days["first"] is None:
             return 0
-        left = self.scan().where(
+        left = _current(rows.sparkSession, self.name).where(
             F.col("day").between(days["first"], days["last"]) & (F.col("load") == load)
         )
         return self.append(insert_if_absent(rows, left, ["id"]), load)
@@ -123,7 +133,7 @@ class RejectTable:
         _create(spark, name, model.REJECT_SCHEMA, "")
 
     def scan(self) -> DataFrame:
-        return self.spark.table(self.name)
+        return _current(self.spark, self.name)
 
     def _prepared(self, rows: DataFrame, load: str, now: Column | None) -> DataFrame:
         return rows.select(
@@ -140,7 +150,7 @@ class RejectTable:
 
     def append_missing(self, rows: DataFrame, load: str, now: Column | None = None) -> int:
         """As for logs. The report has no id, and a refused batch has no index."""
-        left = self.scan().where(F.col("load") == load)
+        left = _current(rows.sparkSession, self.name).where(F.col("load") == load)
         shaped = rows.withColumn("batch_id", F.col("batch_id").cast("string")).withColumn(
             "position", F.coalesce("index", F.lit(-1))
         )
