@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Integers up to 2^53, and so all of 15 digits, are exact.
 _EXACT_INTEGERS = 2**53
+_EXACT_DIGITS = 15
 
 VARIANT_MAP = "map<string,variant>"
 
@@ -103,52 +105,83 @@ def number_text(d: Column, exponents: bool = False) -> Column:
     )
 
 
-def variant_kind(v: Column) -> Column:
-    """Word for the JSON type of a variant, as used in rejection reasons."""
-    kind = F.schema_of_variant(v)
+def kind_word(schema: Column) -> Column:
+    """Word for a JSON type, as used in rejection reasons, from a variant's schema."""
     return (
-        F.when(kind == "STRING", "string")
-        .when(kind == "VOID", "null")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
+        F.when(schema == "STRING", "string")
+        .when(schema == "VOID", "null")
+        .when(schema == "BOOLEAN", "boolean")
+        .when(schema.startswith("OBJECT"), "object")
+        .when(schema.startswith("ARRAY"), "array")
         .otherwise("number")
     )
 
 
-def _scalar(v: Column, exponents: bool, quoted: bool) -> Column:
-    kind = F.schema_of_variant(v)
-    text = F.to_json(v) if quoted else F.try_variant_get(v, "$", "string")
-    number = number_text(F.try_variant_get(v, "$", "double"), exponents)
-    if quoted:
-        number = F.coalesce(number, F.lit("null"))
-    return (
-        F.when(kind == "STRING", text)
-        .when(kind == "BOOLEAN", F.to_json(v))
-        .otherwise(number)
+def variant_kind(v: Column) -> Column:
+    return kind_word(F.schema_of_variant(v))
+
+
+def attribute_list(attributes: Column) -> Column:
+    """``array<struct(key, schema, value, text)>`` from ``map<string,variant>``.
+
+    ``text`` is what filters compare; NULL for JSON null, objects and arrays.
+    """
+
+    def text(schema: Column, value: Column) -> Column:
+        as_text = F.try_variant_get(value, "$", "string")
+        number = number_text(F.try_variant_get(value, "$", "double"))
+        as_written = schema.isin("STRING", "BOOLEAN") | (
+            (schema == "BIGINT") & (F.length(as_text) <= _EXACT_DIGITS)
+        )
+        return F.when(as_written, as_text).otherwise(number)
+
+    typed = F.transform(
+        F.map_entries(attributes),
+        lambda e: F.struct(e["key"], F.schema_of_variant(e["value"]).alias("schema"), e["value"]),
+    )
+    return F.transform(
+        typed,
+        lambda e: F.struct(
+            e["key"], e["schema"], e["value"], text(e["schema"], e["value"]).alias("text")
+        ),
     )
 
 
 def attribute_map(attributes: Column) -> Column:
-    """``map<string,string>`` for equality filters, from ``map<string,variant>``."""
-    return F.transform_values(attributes, lambda _, v: _scalar(v, exponents=False, quoted=False))
+    """``map<string,string>`` for equality filters, from an attribute list."""
+    return F.map_from_entries(
+        F.transform(attributes, lambda e: F.struct(e["key"], e["text"].alias("value")))
+    )
+
+
+# Texts this short with no leading zeros after the point need no exponent.
+_PLAIN_LENGTH = 20
 
 
 def attribute_json(attributes: Column) -> Column:
-    """Canonical JSON object text, keys by length and then by bytes."""
+    """Canonical JSON object text of an attribute list, keys by length, then bytes."""
+
+    def value_json(e: Column) -> Column:
+        schema, text = e["schema"], e["text"]
+        plain = (F.length(text) <= _PLAIN_LENGTH) & ~F.ltrim(text, F.lit("-")).startswith("0.0000")
+        exponents = number_text(F.try_variant_get(e["value"], "$", "double"), exponents=True)
+        return (
+            F.when(schema == "STRING", F.to_json(e["value"]))
+            .when(schema == "BOOLEAN", text)
+            .when(text.isNull(), F.lit("null"))
+            .when(plain, text)
+            .otherwise(exponents)
+        )
+
     entries = F.transform(
-        F.map_entries(attributes),
+        attributes,
         lambda e: F.struct(
             F.octet_length(e["key"]).alias("size"),
-            e["key"].alias("key"),
-            F.concat(
-                F.to_json(e["key"].cast("variant")),
-                F.lit(":"),
-                _scalar(e["value"], exponents=True, quoted=True),
-            ).alias("text"),
+            e["key"],
+            F.concat(F.to_json(e["key"].cast("variant")), F.lit(":"), value_json(e)).alias("json"),
         ),
     )
-    texts = F.transform(F.array_sort(entries), lambda e: e["text"])
+    texts = F.transform(F.sort_array(entries), lambda e: e["json"])
     return F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}"))
 
 

@@ -9,20 +9,25 @@ from pyspark.sql import functions as F
 
 from tallylog import model
 from tallylog.functions.ids import uuid_from
-from tallylog.functions.json_text import VARIANT_MAP, attribute_json, attribute_map, variant_kind
+from tallylog.functions.json_text import (
+    VARIANT_MAP,
+    attribute_json,
+    attribute_list,
+    attribute_map,
+    kind_word,
+)
 from tallylog.functions.timestamps import literal, parse_iso
 
 
-def _missing_or_not_text(field: Column, required: str) -> list[tuple[Column, Column]]:
-    kind = variant_kind(field)
-    return [
-        (field.isNull(), F.lit(required)),
-        (kind != "string", F.format_string(model.WRONG_TYPE, F.lit("string"), kind)),
-    ]
+_TEXT_FIELDS = ("timestamp", "level", "service", "message")
 
 
-def _text(field: Column) -> Column:
-    return F.try_variant_get(field, "$", "string")
+def _missing_or_not_text(name: str, required: str) -> list[tuple[Column, Column]]:
+    schema = F.col(f"{name}_schema")
+    return [
+        (schema.isNull(), F.lit(required)),
+        (schema != "STRING", F.format_string(model.WRONG_TYPE, F.lit("string"), kind_word(schema))),
+    ]
 
 
 def validate(entries: DataFrame, as_of: Column | datetime) -> DataFrame:
@@ -43,45 +48,42 @@ def validate(entries: DataFrame, as_of: Column | datetime) -> DataFrame:
 
     # Each step is its own projection, so that later ones use the column and
     # not a copy of the expression.
+    field = F.col("field")
     fields = entries.withColumn("field", F.try_variant_get("entry", "$", VARIANT_MAP))
-    given = F.col("field")["attributes"]
-    parsed = fields.select(
+    given = field["attributes"]
+    typed = fields.select(
         *entries.columns,
-        "field",
-        parse_iso(_text(F.col("field")["timestamp"])).alias("ts"),
-        _text(F.col("field")["level"]).alias("level"),
-        _text(F.col("field")["service"]).alias("service"),
-        _text(F.col("field")["message"]).alias("message"),
+        field.isNull().alias("not_object"),
+        *(F.schema_of_variant(field[name]).alias(f"{name}_schema") for name in _TEXT_FIELDS),
+        *(F.try_variant_get(field[name], "$", "string").alias(name) for name in _TEXT_FIELDS),
+        F.schema_of_variant(given).alias("attributes_schema"),
         F.when(given.isNull(), F.expr(f"cast(map() as {VARIANT_MAP})"))
         .otherwise(F.try_variant_get(given, "$", VARIANT_MAP))
         .alias("given"),
     )
+    parsed = typed.withColumn("ts", parse_iso(F.col("timestamp"))).withColumn(
+        "given", attribute_list(F.col("given"))
+    )
 
-    field = F.col("field")
     quoted = F.transform("unknown", lambda k: F.concat(F.lit("'"), k, F.lit("'")))
+    nested = r"^(OBJECT|ARRAY|VOID)"
     rules = [
         (F.col("index").isNull(), F.lit(model.REFUSED_BODY)),
-        (field.isNull(), F.lit(model.NOT_AN_OBJECT)),
-        *_missing_or_not_text(field["timestamp"], model.TIMESTAMP_REQUIRED),
+        (F.col("not_object"), F.lit(model.NOT_AN_OBJECT)),
+        *_missing_or_not_text("timestamp", model.TIMESTAMP_REQUIRED),
         (F.col("ts").isNull(), F.lit(model.TIMESTAMP_INVALID)),
-        *_missing_or_not_text(field["level"], model.LEVEL_REQUIRED),
-        *_missing_or_not_text(field["service"], model.SERVICE_REQUIRED),
+        *_missing_or_not_text("level", model.LEVEL_REQUIRED),
+        *_missing_or_not_text("service", model.SERVICE_REQUIRED),
         (F.col("service") == "", F.lit(model.SERVICE_EMPTY)),
-        *_missing_or_not_text(field["message"], model.MESSAGE_REQUIRED),
+        *_missing_or_not_text("message", model.MESSAGE_REQUIRED),
         (F.col("message") == "", F.lit(model.MESSAGE_EMPTY)),
         (
             F.col("given").isNull(),
             F.format_string(
-                model.WRONG_TYPE, F.lit("object"), variant_kind(field["attributes"])
-            ),
-        ),
-        (
-            F.exists(
-                F.map_values("given"),
-                lambda v: variant_kind(v).isin("object", "array", "null"),
+                model.WRONG_TYPE, F.lit("object"), kind_word(F.col("attributes_schema"))
             ),
-            F.lit(model.ATTRIBUTE_VALUE),
         ),
+        (F.exists("given", lambda e: e["schema"].rlike(nested)), F.lit(model.ATTRIBUTE_VALUE)),
         (
             F.size("unknown") > 0,
             F.format_string(model.UNKNOWN_KEYS, F.array_join(quoted, ", ")),

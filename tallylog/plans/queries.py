@@ -17,6 +17,7 @@ from tallylog.functions.cursors import cursor_column, decode_column
 from tallylog.functions.json_text import (
     VARIANT_MAP,
     attribute_json,
+    attribute_list,
     attribute_map,
     field_text,
     number_text,
@@ -170,7 +171,9 @@ concat('{"user_id": "', user_id, '", "v": ', value, ', "k": ', event_id, '.0, "e
 def attributes_canonical(spark, sf_dir):
     parsed = event_logs.read_events(spark, sf_dir).select(
         "event_id",
-        F.try_variant_get(F.try_parse_json(F.expr(ATTRIBUTES_SQL)), "$", VARIANT_MAP).alias("a"),
+        attribute_list(
+            F.try_variant_get(F.try_parse_json(F.expr(ATTRIBUTES_SQL)), "$", VARIANT_MAP)
+        ).alias("a"),
     )
     text = attribute_map(F.col("a"))
     return parsed.select(

@@ -74,15 +74,19 @@ def parse_envelopes(bodies: DataFrame) -> DataFrame:
     after it. The JSON parser stops at the end of the first value, so the body
     is parsed as the first item of an array whose second item is the body's own
     hash; text after the body would push that item out of its place.
+
+    The entries are then read one by one and not taken out of the parsed body:
+    a variant cut out of a larger one carries the key names of all of it, which
+    for a body with many different keys is far more than the entry itself.
     """
     mark = F.xxhash64("raw")
     framed = F.concat(F.lit("["), F.col("raw"), F.lit(","), mark.cast("string"), F.lit("]"))
     parsed = bodies.withColumn("json", F.try_parse_json(framed))
     complete = F.try_variant_get("json", "$[1]", "bigint") == mark
-    entries = F.try_variant_get("json", "$[0].logs", "array<variant>")
-    return parsed.withColumn("entries", F.when(complete, entries)).select(
-        "batch_id", "raw", F.when(F.size("entries") > 0, F.col("entries")).alias("entries")
-    )
+    has_entry = F.try_variant_get("json", "$[0].logs[0]", "variant").isNotNull()
+    checked = parsed.select("batch_id", "raw", (complete & has_entry).alias("valid"))
+    entries = F.from_json("raw", "logs array<variant>")["logs"]
+    return checked.select("batch_id", "raw", F.when(F.col("valid"), entries).alias("entries"))
 
 
 def explode_entries(envelopes: DataFrame) -> DataFrame:

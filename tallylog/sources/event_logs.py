@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallylog.functions.ids import uuid_from
 from tallylog.functions.timestamps import iso_micros
 
 AS_OF = "2024-02-01T00:00:00Z"
@@ -54,8 +55,6 @@ def logs_from_events(
     is the same as bounding the truncated one, and it prunes row groups.
     """
     events = read_events(spark, sf_dir, start, end)
-    digest = F.md5(F.col("event_id").cast("string"))
-    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
     user = F.col("user_id").cast("string")
     kind = F.col("event_type")
     ts = F.date_trunc("millisecond", "ts").cast("timestamp")
@@ -68,7 +67,7 @@ def logs_from_events(
         F.lit("}"),
     )
     return events.select(
-        F.concat_ws("-", *(F.substring(digest, at, n) for at, n in cuts)).alias("id"),
+        uuid_from(F.col("event_id")).alias("id"),
         ts.alias("ts"),
         F.when(kind == "error", "error")
         .when(kind == "signup", "warn")
