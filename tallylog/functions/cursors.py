@@ -48,7 +48,7 @@ def decode_text(text: str) -> Cursor | None:
     try:
         raw = base64.b64decode(plain + "=" * (-len(plain) % 4), altchars=b"-_", validate=True)
         body = json.loads(raw.decode("utf-8"))
-        if not re.match(_UUID, body["id"]):
+        if not re.fullmatch(_UUID, body["id"]):
             return None
         moment = datetime.strptime(body["ts"], _MICROS).replace(tzinfo=timezone.utc)
     except (binascii.Error, ValueError, KeyError, TypeError):

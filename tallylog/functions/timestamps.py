@@ -8,13 +8,14 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The end is "no further character", since "$" also matches before a final newline.
 # year [-month [-day]] [T hour:minute [:second [.fraction]] [zone]]
 _YEAR = r"(\d{4})"
 _DATE = rf"{_YEAR}(?:-(0[1-9]|1[0-2])(?:-(0[1-9]|[12]\d|3[01]))?)?"
 _CLOCK = r"([01]\d|2[0-3]):([0-5]\d)(?::([0-5]\d)(?:\.(\d+))?)?"
 _MIDNIGHT = r"24:00(?::00(?:\.0+)?)?"
 _ZONE = r"(Z|[+-](?:[01]\d|2[0-3]):[0-5]\d)?"
-ISO_SHAPE = rf"^{_DATE}(?:T(?:{_CLOCK}|({_MIDNIGHT})){_ZONE})?$"
+ISO_SHAPE = rf"^{_DATE}(?:T(?:{_CLOCK}|({_MIDNIGHT})){_ZONE})?(?![\s\S])"
 
 _ISO = re.compile(ISO_SHAPE, re.ASCII)
 
@@ -61,7 +62,7 @@ def parse_iso(text: Column) -> Column:
 def parse_iso_text(text: object) -> datetime | None:
     """Driver-side counterpart of :func:`parse_iso` for call arguments."""
     match = _ISO.match(text) if isinstance(text, str) else None
-    if match is None or text.endswith("\n"):
+    if match is None:
         return None
     year, month, day, hour, minute, second, fraction, midnight, zone = match.groups()
     try:

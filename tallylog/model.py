@@ -65,6 +65,8 @@ REJECT_SCHEMA = T.StructType(
         T.StructField("raw", T.StringType()),
         T.StructField("ingested_at", T.TimestampType()),
         T.StructField("load", T.StringType()),
+        # UTC day of ``ingested_at``; a rejected entry may have no time of its own.
+        T.StructField("day", T.DateType()),
     ]
 )
 

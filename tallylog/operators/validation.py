@@ -37,7 +37,7 @@ def validate(entries: DataFrame, as_of: Column | datetime) -> DataFrame:
     A timestamp more than five minutes after ``as_of`` is refused. A whole
     batch that was refused stays as one row with a NULL index.
 
-    Adds ``reason``, and for accepted entries ``ts`` (milliseconds), ``level``,
+    Adds ``reason`` and ``ingested_at`` (``as_of``), and for accepted entries ``ts`` (milliseconds), ``level``,
     ``service``, ``message``, ``attributes`` (JSON), ``attr`` (text map) and ``id``.
     No shuffle is needed.
     """
@@ -110,20 +110,19 @@ def validate(entries: DataFrame, as_of: Column | datetime) -> DataFrame:
         F.when(accepted, attribute_json(F.col("given"))).alias("attributes"),
         F.when(accepted, attribute_map(F.col("given"))).alias("attr"),
         F.when(~accepted, F.coalesce(F.to_json("entry"), F.col("body"))).alias("raw"),
+        now.alias("ingested_at"),
     )
 
 
 def accepted_entries(validated: DataFrame) -> DataFrame:
     """Entries without a reason, with the columns of the log table's input."""
-    return validated.where(F.col("reason").isNull()).select(
-        "batch_id", "index", "id", "ts", "level", "service", "message", "attributes", "attr"
-    )
+    return validated.where(F.col("reason").isNull()).drop("reason", "raw")
 
 
 def rejected_entries(validated: DataFrame) -> DataFrame:
     """Entries with their reason; a refused batch has one row with a NULL index."""
     return validated.where(F.col("reason").isNotNull()).select(
-        "batch_id", "index", "reason", "raw"
+        "batch_id", "index", "reason", "raw", "ingested_at"
     )
 
 

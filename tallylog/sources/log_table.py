@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,20 @@ def _write(rows: DataFrame, table: str) -> int:
     return written.get["rows"]
 
 
+def _left_behind(rows: DataFrame, table: str, load: str) -> DataFrame | None:
+    """Stored rows of the load in the days of ``rows``; None if there are no rows.
+
+    ``day`` prunes directories, and the file statistics of ``load`` skip the
+    files of all other loads.
+    """
+    days = rows.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+    if days["first"] is None:
+        return None
+    return _current(rows.sparkSession, table).where(
+        F.col("day").between(days["first"], days["last"]) & (F.col("load") == load)
+    )
+
+
 class LogTable:
     """Append and scan of the day-partitioned log table."""
 
@@ -88,18 +102,10 @@ class LogTable:
         return _write(self._prepared(rows, load), self.name)
 
     def append_missing(self, rows: DataFrame, load: str) -> int:
-        """Add those rows that an interrupted write of the same load did not leave.
-
-        Only files of the same load in the days concerned are read: ``day``
-        prunes directories, and the file statistics of ``load`` skip the rest.
-        """
-        dated = with_day(rows)
-        days = dated.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
-        if days["first"] is None:
+        """Add those rows that an interrupted write of the same load did not leave."""
+        left = _left_behind(with_day(rows), self.name, load)
+        if left is None:
             return 0
-        left = _current(rows.sparkSession, self.name).where(
-            F.col("day").between(days["first"], days["last"]) & (F.col("load") == load)
-        )
         return self.append(insert_if_absent(rows, left, ["id"]), load)
 
     def partitions(self) -> DataFrame:
@@ -125,34 +131,39 @@ class LogTable:
 
 
 class RejectTable:
-    """Append and scan of the rejection report."""
+    """Append and scan of the rejection report, partitioned by day of ingest."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.name = name
-        _create(spark, name, model.REJECT_SCHEMA, "")
+        _create(spark, name, model.REJECT_SCHEMA, "PARTITIONED BY (day)")
 
     def scan(self) -> DataFrame:
         return _current(self.spark, self.name)
 
-    def _prepared(self, rows: DataFrame, load: str, now: Column | None) -> DataFrame:
-        return rows.select(
+    def append(self, rows: DataFrame, load: str) -> int:
+        shaped = rows.select(
             F.col("batch_id").cast("string"),
             F.col("index").cast("int"),
             "reason",
             "raw",
-            (now if now is not None else F.current_timestamp()).alias("ingested_at"),
+            "ingested_at",
             F.lit(load).alias("load"),
+            F.to_date("ingested_at").alias("day"),
         )
+        return _write(shaped.hint("rebalance", F.col("day")), self.name)
 
-    def append(self, rows: DataFrame, load: str, now: Column | None = None) -> int:
-        return _write(self._prepared(rows, load, now), self.name)
-
-    def append_missing(self, rows: DataFrame, load: str, now: Column | None = None) -> int:
+    def append_missing(self, rows: DataFrame, load: str) -> int:
         """As for logs. The report has no id, and a refused batch has no index."""
-        left = _current(rows.sparkSession, self.name).where(F.col("load") == load)
-        shaped = rows.withColumn("batch_id", F.col("batch_id").cast("string")).withColumn(
-            "position", F.coalesce("index", F.lit(-1))
+        keyed = rows.withColumns(
+            {
+                "batch_id": F.col("batch_id").cast("string"),
+                "position": F.coalesce("index", F.lit(-1)),
+                "day": F.to_date("ingested_at"),
+            }
         )
+        left = _left_behind(keyed, self.name, load)
+        if left is None:
+            return 0
         stored = left.select("batch_id", F.coalesce("index", F.lit(-1)).alias("position"))
-        return self.append(insert_if_absent(shaped, stored, ["batch_id", "position"]), load, now)
+        return self.append(insert_if_absent(keyed, stored, ["batch_id", "position"]), load)
