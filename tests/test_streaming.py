@@ -14,7 +14,7 @@ NOW = parse_iso_text(AS_OF)
 
 def bodies_folder(spark, parts):
     folder = f"{shared_folder(spark)}/{fresh_name('landing')}"
-    bodies_from_events(spark, SMALL).repartition(parts, "batch_id").write.parquet(folder)
+    bodies_from_events(spark, SMALL).repartition(parts).write.parquet(folder)
     return folder
 
 
