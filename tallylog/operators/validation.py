@@ -30,7 +30,9 @@ def _missing_or_not_text(name: str, required: str) -> list[tuple[Column, Column]
     ]
 
 
-def validate(entries: DataFrame, as_of: Column | datetime) -> DataFrame:
+def validate(
+    entries: DataFrame, as_of: Column | datetime, metrics: str = "validation"
+) -> DataFrame:
     """Check entries against the contract; the first failing rule gives ``reason``.
 
     ``entries`` comes from :func:`tallylog.sources.envelopes.explode_entries`.
@@ -39,7 +41,9 @@ def validate(entries: DataFrame, as_of: Column | datetime) -> DataFrame:
 
     Adds ``reason`` and ``ingested_at`` (``as_of``), and for accepted entries ``ts`` (milliseconds), ``level``,
     ``service``, ``message``, ``attributes`` (JSON), ``attr`` (text map) and ``id``.
-    No shuffle is needed.
+    No shuffle is needed. The counts of accepted and rejected entries and of
+    refused batches are observed under the name ``metrics``; a stream shows them
+    in its progress.
     """
     now = literal(as_of) if isinstance(as_of, datetime) else as_of
     latest = F.date_trunc("MILLISECOND", now) + F.expr(
@@ -49,10 +53,13 @@ def validate(entries: DataFrame, as_of: Column | datetime) -> DataFrame:
     # Each step is its own projection, so that later ones use the column and
     # not a copy of the expression.
     field = F.col("field")
-    fields = entries.withColumn("field", F.try_variant_get("entry", "$", VARIANT_MAP))
     given = field["attributes"]
-    typed = fields.select(
-        *entries.columns,
+    typed = entries.select(
+        "batch_id",
+        "index",
+        "entry",
+        "unknown",
+        "body",
         field.isNull().alias("not_object"),
         *(F.schema_of_variant(field[name]).alias(f"{name}_schema") for name in _TEXT_FIELDS),
         *(F.try_variant_get(field[name], "$", "string").alias(name) for name in _TEXT_FIELDS),
@@ -96,8 +103,15 @@ def validate(entries: DataFrame, as_of: Column | datetime) -> DataFrame:
     ]
     reason = F.coalesce(*(F.when(broken, text) for broken, text in rules))
 
-    checked = parsed.withColumn("reason", reason)
     accepted = F.col("reason").isNull()
+    # Counting here also keeps a later filter on the reason above this point; pushed
+    # further down, it would evaluate all the rules a second time.
+    checked = parsed.withColumn("reason", reason).observe(
+        metrics,
+        F.count_if(accepted).alias("accepted"),
+        F.count_if(~accepted & F.col("index").isNotNull()).alias("rejected"),
+        F.count_if(F.col("index").isNull()).alias("refused_batches"),
+    )
     return checked.select(
         "batch_id",
         "index",

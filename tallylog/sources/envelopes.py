@@ -46,8 +46,8 @@ def bodies_from_kafka(records: DataFrame) -> DataFrame:
     )
 
 
-def _keys(entry: Column) -> Column:
-    return F.map_keys(F.try_variant_get(entry, "$", VARIANT_MAP))
+def _fields(entry: Column) -> Column:
+    return F.try_variant_get(entry, "$", VARIANT_MAP)
 
 
 def _unknown(keys: Column) -> Column:
@@ -90,14 +90,15 @@ def parse_envelopes(bodies: DataFrame) -> DataFrame:
 
 
 def explode_entries(envelopes: DataFrame) -> DataFrame:
-    """One row per entry: ``batch_id, index, entry, unknown, body``.
+    """One row per entry: ``batch_id, index, entry, field, unknown, body``.
 
+    ``field`` maps the entry's keys to their values, NULL if it is no object, and
     ``unknown`` lists the keys the contract does not know. Variants sort their
     keys, so when some entry has several unknown ones, the body is read once
     more as text to get the order they were written in. A refused body gives
     one row with a NULL ``index`` and its text in ``body``.
     """
-    several_unknown = F.exists("entries", lambda e: F.size(_unknown(_keys(e))) > 1)
+    several_unknown = F.exists("entries", lambda e: F.size(_unknown(F.map_keys(_fields(e)))) > 1)
     texts = F.from_json("raw", "logs array<string>")["logs"]
     none = F.array().cast("array<string>")
     paired = envelopes.withColumn(
@@ -108,25 +109,26 @@ def explode_entries(envelopes: DataFrame) -> DataFrame:
         # The shorter array is filled up with NULLs.
         F.arrays_zip("entries", F.coalesce("texts", none).alias("texts")).alias("pairs"),
     )
+    pair = F.col("pair")
     rows = paired.select(
         "batch_id", "body", F.posexplode_outer("pairs").alias("index", "pair")
     ).select(
         "batch_id",
         "index",
-        F.col("pair")["entries"].alias("entry"),
-        F.col("pair")["texts"].alias("text"),
         "body",
+        pair["entries"].alias("entry"),
+        _fields(pair["entries"]).alias("field"),
+        pair["texts"].alias("text"),
     )
-    keys = _keys(F.col("entry"))
+    unknown = _unknown(F.map_keys("field"))
+    as_written = _in_object_order(_unknown(F.json_object_keys("text")))
     return rows.select(
         "batch_id",
         "index",
         "entry",
-        F.when(
-            F.col("text").isNotNull() & (F.size(_unknown(keys)) > 1),
-            _in_object_order(_unknown(F.json_object_keys("text"))),
-        )
-        .otherwise(_unknown(keys))
+        "field",
+        F.when(F.col("text").isNotNull() & (F.size(unknown) > 1), as_written)
+        .otherwise(unknown)
         .alias("unknown"),
         "body",
     )

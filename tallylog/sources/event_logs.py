@@ -17,6 +17,9 @@ from tallylog.functions.timestamps import iso_micros
 
 AS_OF = "2024-02-01T00:00:00Z"
 BATCH_SIZE = 100
+EVENT_SCHEMA = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+)
 
 
 def read_events(
@@ -29,12 +32,10 @@ def read_events(
 
     The stored type has no zone, so the bounds are literals of that type.
     """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    zoneless = dict(events.dtypes)["ts"] == "timestamp_ntz"
+    events = spark.read.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet")
 
     def bound(moment: datetime) -> Column:
-        text = moment.strftime("%Y-%m-%d %H:%M:%S.%f")
-        return F.lit(text).cast("timestamp_ntz" if zoneless else "timestamp")
+        return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
     if start is not None:
         events = events.where(F.col("ts") >= bound(start))
@@ -131,6 +132,16 @@ END
 """
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Hash rows by batch into all shuffle partitions.
+
+    The grouping that follows uses this shuffle. With a number given, small
+    partitions are not merged: what comes after is costly for its size.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "batch_id")
+
+
 def bodies_from_events(
     spark: SparkSession, sf_dir: str, entry_sql: str = ENTRY_SQL
 ) -> DataFrame:
@@ -142,7 +153,7 @@ def bodies_from_events(
         F.expr(entry_sql.replace("{iso}", iso)).alias("entry"),
     )
     ordered = F.array_sort(F.collect_list(F.struct("event_id", "entry")))
-    return entries.groupBy("batch_id").agg(
+    return _spread(entries).groupBy("batch_id").agg(
         F.concat(F.lit('{"logs":['), F.array_join(ordered["entry"], ","), F.lit("]}")).alias(
             "raw"
         )
@@ -190,8 +201,11 @@ def column_arrays_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("event_type", F.lit("_"), user).alias("message"),
         F.col("props").alias("attributes"),
     )
-    grouped = events.groupBy(
-        F.floor(F.col("event_id") / BATCH_SIZE).cast("bigint").alias("batch_id")
-    ).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    rows = events.select(
+        F.floor(F.col("event_id") / BATCH_SIZE).cast("bigint").alias("batch_id"), row.alias("row")
+    )
+    grouped = _spread(rows).groupBy("batch_id").agg(
+        F.array_sort(F.collect_list("row")).alias("rows")
+    )
     names = ("ts", "level", "service", "message", "attributes")
     return grouped.select("batch_id", *(F.col("rows")[n].alias(n) for n in names))
