@@ -88,6 +88,11 @@ def literal(moment: datetime) -> Column:
     return F.timestamp_micros(F.lit(micros))
 
 
+def date_literal(moment: datetime) -> Column:
+    """The UTC day of an aware datetime; as text, which holds for every year."""
+    return F.lit(moment.date().isoformat()).cast("date")
+
+
 def iso_millis(ts: Column) -> Column:
     """``2024-01-31T08:00:00.123Z``"""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallylog import model
 from tallylog.functions.cursors import Cursor, decode_text
 from tallylog.functions.patterns import message_matches
-from tallylog.functions.timestamps import literal, parse_iso_text
+from tallylog.functions.timestamps import date_literal, literal, parse_iso_text
 
 
 class InvalidArgument(ValueError):
@@ -64,6 +64,34 @@ def check_order(start: datetime | None, end: datetime | None) -> None:
         raise InvalidArgument("'end' must be later than 'start'")
 
 
+_QUERY_PARAMETERS = ("service", "level", "start", "end", "q", "limit", "cursor")
+_AGGREGATE_PARAMETERS = ("service", "level", "start", "end", "q", "bucket", "group_by")
+_ATTRIBUTE = "attributes."
+
+
+def _arguments(parameters: Mapping[str, object], names: tuple[str, ...]) -> dict:
+    found = {n: parameters[n] for n in names if n in parameters}
+    for name in ("service", "q", "cursor"):
+        if not isinstance(found.get(name, ""), str):
+            del found[name]
+    found["attributes"] = {
+        name.removeprefix(_ATTRIBUTE): value
+        for name, value in parameters.items()
+        if name.startswith(_ATTRIBUTE) and isinstance(value, str)
+    }
+    return found
+
+
+def query_arguments(parameters: Mapping[str, object]) -> dict:
+    """Keyword arguments of a query from flat parameters such as ``attributes.region``."""
+    return _arguments(parameters, _QUERY_PARAMETERS)
+
+
+def aggregate_arguments(parameters: Mapping[str, object]) -> dict:
+    """Keyword arguments of an aggregate call from flat parameters."""
+    return _arguments(parameters, _AGGREGATE_PARAMETERS)
+
+
 @dataclass(frozen=True)
 class LogFilter:
     """Conditions that must all hold; one that is not given (or empty) does not apply."""
@@ -117,16 +145,16 @@ class LogFilter:
         found = []
         if self.start is not None:
             if by_day:
-                found.append(day >= F.lit(self.start.date()))
+                found.append(day >= date_literal(self.start))
             found.append(ts >= literal(self.start))
         if self.end is not None:
             if by_day:
                 last = self.end - timedelta(microseconds=1)
-                found.append(day <= F.lit(last.date()))
+                found.append(day <= date_literal(last))
             found.append(ts < literal(self.end))
         if self.cursor is not None:
             if by_day:
-                found.append(day <= F.lit(self.cursor.ts.date()))
+                found.append(day <= date_literal(self.cursor.ts))
             at = literal(self.cursor.ts)
             found.append(ts <= at)
             found.append((ts < at) | (F.col("id") < self.cursor.id))

@@ -87,7 +87,7 @@ def lower_bound(
     bottom = oldest if condition.start is None else max(oldest, condition.start)
     span = first
     while top > bottom:
-        reach = max(top - span, bottom)
+        reach = top - span if span < top - bottom else bottom
         found = (
             condition.since(reach)
             .apply(logs)

@@ -13,7 +13,7 @@ from tallylog.functions.json_text import VARIANT_MAP
 from tallylog.model import ENTRY_FIELDS
 
 # How much a file stream takes in one micro-batch.
-MICRO_BATCH_BYTES = 64 * 2**30
+MICRO_BATCH_BYTES = 2**40
 
 _INTEGER_KEY = r"^(0|[1-9]\d{0,9})$"
 _INTEGER_KEY_END = 2**32 - 1

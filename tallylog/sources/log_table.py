@@ -18,6 +18,14 @@ from tallylog.operators.ingest import insert_if_absent, with_day, with_defaults
 from tallylog.session import shared_folder
 
 _EPOCH = datetime.fromisoformat("1970-01-01T00:00:00+00:00")
+_FIRST = datetime.min.replace(tzinfo=_EPOCH.tzinfo)
+_LAST = datetime.max.replace(tzinfo=_EPOCH.tzinfo)
+
+
+def _moment(seconds: int) -> datetime:
+    """Seconds since 1970 as a datetime, within the years a datetime can hold."""
+    since = timedelta(seconds=seconds)
+    return min(max(since, _FIRST - _EPOCH), _LAST - _EPOCH) + _EPOCH
 
 
 def create_database(spark: SparkSession, name: str) -> None:
@@ -28,7 +36,7 @@ def create_database(spark: SparkSession, name: str) -> None:
 
 def _create(spark: SparkSession, name: str, schema: T.StructType, tail: str) -> None:
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {tail}")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet OPTIONS (compression 'zstd') {tail}")
 
 
 def _current(spark: SparkSession, name: str) -> DataFrame:
@@ -124,10 +132,7 @@ class LogTable:
         row = self.partitions().agg(F.min(seconds).alias("low"), F.max(seconds).alias("high")).first()
         if row["low"] is None:
             return None
-        return (
-            _EPOCH + timedelta(seconds=row["low"]),
-            _EPOCH + timedelta(seconds=row["high"] + 86400),
-        )
+        return _moment(row["low"]), _moment(row["high"] + 86400)
 
 
 class RejectTable:

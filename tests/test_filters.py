@@ -4,7 +4,13 @@ from pyspark.sql import functions as F
 from tallylog.functions.patterns import contains_pattern, plain_text
 from tallylog.functions.timestamps import iso_millis, parse_iso_text
 from tallylog.operators.aggregation import bucket_counts, check_aggregate
-from tallylog.operators.filters import InvalidArgument, LogFilter, check_limit
+from tallylog.operators.filters import (
+    InvalidArgument,
+    LogFilter,
+    aggregate_arguments,
+    check_limit,
+    query_arguments,
+)
 
 
 @pytest.mark.parametrize(
@@ -73,7 +79,7 @@ def test_bad_aggregate_arguments(changes, text):
     assert str(error.value) == text
 
 
-def test_empty_texts_are_no_filter():
+def test_empty_texts_are_no_filter(spark):
     assert LogFilter.of(service="", q="", cursor="").predicates(by_day=True) == []
 
 
@@ -168,3 +174,16 @@ def test_scan_bound_equals_filter_on_truncated_time(spark):
     condition = LogFilter.of(start=middle)
     bounded = logs_from_events(spark, "/root/testdata/sf0.001", start=parse_iso_text(middle))
     assert condition.apply(bounded).count() == condition.apply(whole).count() == 500
+
+
+def test_flat_parameters():
+    given = {"service": "a", "limit": "5", "attributes.a.b": "1", "attributes.k": ["x"], "other": "y"}
+    assert query_arguments(given) == {"service": "a", "limit": "5", "attributes": {"a.b": "1"}}
+    assert query_arguments({"q": ["x"], "level": ["x"]}) == {"level": ["x"], "attributes": {}}
+    given = {"start": "2024", "bucket": "1h", "group_by": "level", "cursor": "c"}
+    assert aggregate_arguments(given) == {
+        "start": "2024",
+        "bucket": "1h",
+        "group_by": "level",
+        "attributes": {},
+    }

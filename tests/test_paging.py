@@ -47,6 +47,14 @@ def test_ties_and_sparse_data(spark, new_store, log_rows):
     assert store.query(service="none") == {"logs": [], "next_cursor": None}
 
 
+def test_rows_from_the_first_years(spark, new_store, log_rows):
+    store = new_store()
+    times = ["0001-01-01T00:00:00Z", "0001-01-01T00:00:00+01:00", "2024-01-01T00:00:00Z"]
+    store.logs.append(log_rows([(i, t, "s") for i, t in enumerate(times)]), "load")
+    assert [r.message for r in store.page(limit=3).collect()] == ["m2", "m0", "m1"]
+    assert [r.message for r in store.page(limit=1, end="2023-01-01").collect()] == ["m0"]
+
+
 def test_exactly_one_page_has_no_cursor(spark, log_rows):
     rows = log_rows([(i, f"2024-01-01T00:00:0{i}Z", "s") for i in range(3)])
     full = page(rows, LogFilter(), 3).collect()
