@@ -150,12 +150,12 @@ def batch_outcome(validated: DataFrame) -> DataFrame:
     counts = validated.groupBy("batch_id").agg(
         F.count_if(ok).alias("accepted"),
         F.count_if(~ok & F.col("index").isNotNull()).alias("rejected"),
-        F.max(F.when(F.col("index").isNull(), F.col("reason"))).alias("error"),
+        F.count_if(F.col("index").isNull()).alias("refused"),
     )
     return counts.select(
         "batch_id",
         "accepted",
         "rejected",
         F.when(F.col("accepted") > 0, "accepted").otherwise("refused").alias("outcome"),
-        "error",
+        F.when(F.col("refused") > 0, model.REFUSED_BODY).alias("error"),
     )

@@ -422,15 +422,16 @@ def day_routing(spark, sf_dir):
 @query("insert_if_absent")
 def insert_if_absent(spark, sf_dir):
     """First log of each service and minute that has no error log."""
-    minute = iso_millis(bucket_start(F.col("ts"), 60))
-    logs = _logs(spark, sf_dir).select("id", "ts", "level", "service", minute.alias("minute"))
+    logs = _logs(spark, sf_dir).select(
+        "id", "ts", "level", "service", bucket_start(F.col("ts"), 60).alias("minute")
+    )
     absent = ingest.insert_if_absent(
         logs,
         logs.where(F.col("level") == "error"),
         ["service", "minute"],
         order=[F.col("ts"), F.col("id")],
     )
-    return absent.select("service", "minute", "id")
+    return absent.select("service", iso_millis(F.col("minute")).alias("minute"), "id")
 
 
 def _new_tables(spark: SparkSession) -> tuple[LogTable, RejectTable]:

@@ -43,6 +43,8 @@ def test_stream_equals_batch(spark, new_store):
     streamed = new_store()
     query = run(streamed, body_stream(spark, bodies_folder(spark, 4), 1), fresh_name("s"))
     assert query.lastProgress["batchId"] >= 1
+    seen = [p["observedMetrics"]["validation"] for p in query.recentProgress if p["numInputRows"]]
+    assert sum(m["accepted"] for m in seen) == 550 and sum(m["rejected"] for m in seen) == 450
     assert rows_of(streamed) == rows_of(batch)
     assert len(rows_of(batch)[0]) == 550
 
