@@ -121,68 +121,64 @@ def variant_kind(v: Column) -> Column:
     return kind_word(F.schema_of_variant(v))
 
 
-def attribute_list(attributes: Column) -> Column:
-    """``array<struct(key, schema, value, text)>`` from ``map<string,variant>``.
+_AS_WRITTEN, _REWRITE, _NESTED = "as written", "rewrite", "nested"
 
-    ``text`` is what filters compare; NULL for JSON null, objects and arrays.
+
+def attribute_classes(values: Column) -> Column:
+    """What each attribute value (``map<string,variant>``) asks for.
+
+    Texts, booleans and short integers can be taken as they are; other numbers
+    may have to be written anew; objects, arrays and null are not allowed.
     """
 
-    def text(schema: Column, value: Column) -> Column:
-        as_text = F.try_variant_get(value, "$", "string")
-        number = number_text(F.try_variant_get(value, "$", "double"))
-        as_written = schema.isin("STRING", "BOOLEAN") | (
-            (schema == "BIGINT") & (F.length(as_text) <= _EXACT_DIGITS)
+    def of(value: Column) -> Column:
+        schema = F.schema_of_variant(value)
+        short = F.length(F.try_variant_get(value, "$", "string")) <= _EXACT_DIGITS
+        return (
+            F.when(schema.isin("STRING", "BOOLEAN"), _AS_WRITTEN)
+            .when((schema == "BIGINT") & short, _AS_WRITTEN)
+            .when(schema.rlike("^(OBJECT|ARRAY|VOID)"), _NESTED)
+            .otherwise(_REWRITE)
         )
-        return F.when(as_written, as_text).otherwise(number)
 
-    typed = F.transform(
-        F.map_entries(attributes),
-        lambda e: F.struct(e["key"], F.schema_of_variant(e["value"]).alias("schema"), e["value"]),
-    )
-    return F.transform(
-        typed,
-        lambda e: F.struct(
-            e["key"], e["schema"], e["value"], text(e["schema"], e["value"]).alias("text")
-        ),
-    )
+    return F.transform(F.map_values(values), of)
 
 
-def attribute_map(attributes: Column) -> Column:
-    """``map<string,string>`` for equality filters, from an attribute list."""
-    return F.map_from_entries(
-        F.transform(attributes, lambda e: F.struct(e["key"], e["text"].alias("value")))
-    )
+def has_nested(classes: Column) -> Column:
+    return F.array_contains(classes, _NESTED)
 
 
-# Texts this short with no leading zeros after the point need no exponent.
-_PLAIN_LENGTH = 20
+def attribute_map(attributes: Column, values: Column, classes: Column) -> Column:
+    """``map<string,string>`` for equality filters.
 
+    ``attributes`` is the variant object, ``values`` the same as a map of
+    variants, and ``classes`` come from :func:`attribute_classes`.
+    """
 
-def attribute_json(attributes: Column) -> Column:
-    """Canonical JSON object text of an attribute list, keys by length, then bytes."""
+    def text(_: Column, value: Column) -> Column:
+        number = number_text(F.try_variant_get(value, "$", "double"))
+        as_text = F.try_variant_get(value, "$", "string")
+        return F.when(F.schema_of_variant(value).isin("STRING", "BOOLEAN"), as_text).otherwise(number)
 
-    def value_json(e: Column) -> Column:
-        schema, text = e["schema"], e["text"]
-        plain = (F.length(text) <= _PLAIN_LENGTH) & ~F.ltrim(text, F.lit("-")).startswith("0.0000")
-        exponents = number_text(F.try_variant_get(e["value"], "$", "double"), exponents=True)
-        return (
-            F.when(schema == "STRING", F.to_json(e["value"]))
-            .when(schema == "BOOLEAN", text)
-            .when(text.isNull(), F.lit("null"))
-            .when(plain, text)
-            .otherwise(exponents)
-        )
+    rewritten = F.transform_values(values, text)
+    plain = F.try_variant_get(attributes, "$", "map<string,string>")
+    return F.when(F.array_contains(classes, _REWRITE), rewritten).otherwise(plain)
 
-    entries = F.transform(
-        attributes,
-        lambda e: F.struct(
-            F.octet_length(e["key"]).alias("size"),
-            e["key"],
-            F.concat(F.to_json(e["key"].cast("variant")), F.lit(":"), value_json(e)).alias("json"),
-        ),
-    )
-    texts = F.transform(F.sort_array(entries), lambda e: e["json"])
-    return F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}"))
+
+def attribute_json(attributes: Column, values: Column, classes: Column) -> Column:
+    """Canonical JSON object text; arguments as for :func:`attribute_map`."""
+
+    def member(e: Column) -> Column:
+        value = e["value"]
+        number = number_text(F.try_variant_get(value, "$", "double"), exponents=True)
+        json = F.when(
+            F.schema_of_variant(value).isin("STRING", "BOOLEAN"), F.to_json(value)
+        ).otherwise(F.coalesce(number, F.lit("null")))
+        return F.concat(F.to_json(e["key"].cast("variant")), F.lit(":"), json)
+
+    members = F.array_join(F.transform(F.map_entries(values), member), ",")
+    rewritten = F.concat(F.lit("{"), members, F.lit("}"))
+    return F.when(F.array_contains(classes, _REWRITE), rewritten).otherwise(F.to_json(attributes))
 
 
 def field_text(json: Column, key: str) -> Column:

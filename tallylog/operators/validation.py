@@ -11,9 +11,10 @@ from tallylog import model
 from tallylog.functions.ids import uuid_from
 from tallylog.functions.json_text import (
     VARIANT_MAP,
+    attribute_classes,
     attribute_json,
-    attribute_list,
     attribute_map,
+    has_nested,
     kind_word,
 )
 from tallylog.functions.timestamps import literal, parse_iso
@@ -64,16 +65,16 @@ def validate(
         *(F.schema_of_variant(field[name]).alias(f"{name}_schema") for name in _TEXT_FIELDS),
         *(F.try_variant_get(field[name], "$", "string").alias(name) for name in _TEXT_FIELDS),
         F.schema_of_variant(given).alias("attributes_schema"),
+        F.coalesce(given, F.parse_json(F.lit("{}"))).alias("given"),
         F.when(given.isNull(), F.expr(f"cast(map() as {VARIANT_MAP})"))
         .otherwise(F.try_variant_get(given, "$", VARIANT_MAP))
-        .alias("given"),
+        .alias("values"),
     )
-    parsed = typed.withColumn("ts", parse_iso(F.col("timestamp"))).withColumn(
-        "given", attribute_list(F.col("given"))
+    parsed = typed.withColumns(
+        {"ts": parse_iso(F.col("timestamp")), "classes": attribute_classes(F.col("values"))}
     )
 
     quoted = F.transform("unknown", lambda k: F.concat(F.lit("'"), k, F.lit("'")))
-    nested = r"^(OBJECT|ARRAY|VOID)"
     rules = [
         (F.col("index").isNull(), F.lit(model.REFUSED_BODY)),
         (F.col("not_object"), F.lit(model.NOT_AN_OBJECT)),
@@ -85,12 +86,12 @@ def validate(
         *_missing_or_not_text("message", model.MESSAGE_REQUIRED),
         (F.col("message") == "", F.lit(model.MESSAGE_EMPTY)),
         (
-            F.col("given").isNull(),
+            F.col("values").isNull(),
             F.format_string(
                 model.WRONG_TYPE, F.lit("object"), kind_word(F.col("attributes_schema"))
             ),
         ),
-        (F.exists("given", lambda e: e["schema"].rlike(nested)), F.lit(model.ATTRIBUTE_VALUE)),
+        (has_nested(F.col("classes")), F.lit(model.ATTRIBUTE_VALUE)),
         (
             F.size("unknown") > 0,
             F.format_string(model.UNKNOWN_KEYS, F.array_join(quoted, ", ")),
@@ -112,6 +113,7 @@ def validate(
         F.count_if(~accepted & F.col("index").isNotNull()).alias("rejected"),
         F.count_if(F.col("index").isNull()).alias("refused_batches"),
     )
+    attributes = (F.col("given"), F.col("values"), F.col("classes"))
     return checked.select(
         "batch_id",
         "index",
@@ -121,8 +123,8 @@ def validate(
         F.when(accepted, F.col("level")).alias("level"),
         F.when(accepted, F.col("service")).alias("service"),
         F.when(accepted, F.col("message")).alias("message"),
-        F.when(accepted, attribute_json(F.col("given"))).alias("attributes"),
-        F.when(accepted, attribute_map(F.col("given"))).alias("attr"),
+        F.when(accepted, attribute_json(*attributes)).alias("attributes"),
+        F.when(accepted, attribute_map(*attributes)).alias("attr"),
         F.when(~accepted, F.coalesce(F.to_json("entry"), F.col("body"))).alias("raw"),
         now.alias("ingested_at"),
     )

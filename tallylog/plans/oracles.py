@@ -192,9 +192,9 @@ FROM events
 """,
         "attributes_canonical": """
 SELECT event_id,
-       concat('{"b":true,"e":', user_id * 100, ',"k":', event_id, ',"v":',
-              regexp_replace(CAST(value AS VARCHAR), '\\.0$', ''),
-              ',"dup":"', event_type, '","user_id":"', user_id, '"}') AS attributes,
+       concat('{"b":true,"dup":"', event_type, '","e":', user_id * 100, ',"k":', event_id,
+              ',"user_id":"', user_id, '","v":',
+              regexp_replace(CAST(value AS VARCHAR), '\\.0$', ''), '}') AS attributes,
        CAST(event_id AS VARCHAR) AS k,
        CAST(user_id * 100 AS VARCHAR) AS e,
        event_type AS dup,

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tallylog.functions.cursors import cursor_column, decode_column
 from tallylog.functions.json_text import (
     VARIANT_MAP,
+    attribute_classes,
     attribute_json,
-    attribute_list,
     attribute_map,
     field_text,
     number_text,
@@ -169,21 +169,17 @@ concat('{"user_id": "', user_id, '", "v": ', value, ', "k": ', event_id, '.0, "e
 
 @query("attributes_canonical")
 def attributes_canonical(spark, sf_dir):
-    parsed = event_logs.read_events(spark, sf_dir).select(
-        "event_id",
-        attribute_list(
-            F.try_variant_get(F.try_parse_json(F.expr(ATTRIBUTES_SQL)), "$", VARIANT_MAP)
-        ).alias("a"),
+    given, values = F.col("given"), F.col("values")
+    parsed = (
+        event_logs.read_events(spark, sf_dir)
+        .select("event_id", F.try_parse_json(F.expr(ATTRIBUTES_SQL)).alias("given"))
+        .withColumn("values", F.try_variant_get("given", "$", VARIANT_MAP))
+        .withColumn("classes", attribute_classes(values))
     )
-    text = attribute_map(F.col("a"))
+    text = attribute_map(given, values, F.col("classes"))
     return parsed.select(
-        "event_id",
-        attribute_json(F.col("a")).alias("attributes"),
-        text["k"].alias("k"),
-        text["e"].alias("e"),
-        text["dup"].alias("dup"),
-        text["b"].alias("b"),
-    )
+        "event_id", attribute_json(given, values, F.col("classes")).alias("attributes"), text.alias("text")
+    ).select("event_id", "attributes", *(F.col("text")[k].alias(k) for k in ("k", "e", "dup", "b")))
 
 
 ISO_TEXT_SQL = """
