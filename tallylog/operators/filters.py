@@ -113,7 +113,6 @@ class LogFilter:
         end: str | None = None,
         q: str | None = None,
         attributes: Mapping[str, str] | None = None,
-        cursor: str | None = None,
     ) -> LogFilter:
         """Filter from call arguments as text, checked in the contract's order."""
         since, until = check_time(start, "start"), check_time(end, "end")
@@ -125,9 +124,12 @@ class LogFilter:
             end=until,
             q=q,
             attributes=dict(attributes or {}),
-            cursor=check_cursor(cursor),
         )
 
+    def after(self, cursor: str | None) -> LogFilter:
+        """The same filter, continued after the row a cursor names."""
+        return replace(self, cursor=check_cursor(cursor))
+
     def since(self, bound: datetime | None) -> LogFilter:
         """The same filter with a lower time bound at least this late."""
         if bound is None or (self.start is not None and self.start >= bound):

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tallylog.model import PAGE_COLUMNS, RETENTION_DAYS
 from tallylog.operators import aggregation, paging, retention
 from tallylog.operators.filters import LogFilter, check_limit
-from tallylog.operators.validation import validate
+from tallylog.operators.validation import batch_outcome, validate
 from tallylog.session import configure, fresh_name
 from tallylog.sources.envelopes import explode_entries, parse_envelopes
 from tallylog.sources.log_table import LogTable, RejectTable, create_database
@@ -43,9 +43,18 @@ class LogStore:
         For more than the cluster's disks hold at once, use :meth:`stream` with
         ``available_now``.
         """
+        return store(
+            self._validated(bodies, as_of), self.logs, self.rejects, load or fresh_name("load")
+        )
+
+    def outcomes(self, bodies: DataFrame, as_of: Column | datetime | None = None) -> DataFrame:
+        """Per body what ingest makes of it, without storing anything: accepted and
+        rejected entries, and ``refused`` when none is accepted."""
+        return batch_outcome(self._validated(bodies, as_of))
+
+    def _validated(self, bodies: DataFrame, as_of: Column | datetime | None) -> DataFrame:
         entries = explode_entries(parse_envelopes(bodies))
-        validated = validate(entries, as_of if as_of is not None else F.current_timestamp())
-        return store(validated, self.logs, self.rejects, load or fresh_name("load"))
+        return validate(entries, as_of if as_of is not None else F.current_timestamp())
 
     def stream(self, bodies: DataFrame, name: str, **options) -> StreamingQuery:
         """Continuous ingest; see :func:`tallylog.streaming.ingest_stream.start_ingest`."""
@@ -62,8 +71,9 @@ class LogStore:
         Conditions: ``service``, ``level``, ``start`` (inclusive), ``end``
         (exclusive), ``q`` (text in the message), ``attributes`` (key to text).
         """
-        condition = LogFilter.of(cursor=cursor, **conditions)
+        condition = LogFilter.of(**conditions)
         size = check_limit(limit)
+        condition = condition.after(cursor)
         span = self.logs.time_range()
         if span is not None:
             bound = paging.lower_bound(self.logs.scan(), condition, size, *span)

@@ -235,7 +235,7 @@ def page_filtered(spark, sf_dir):
 @query("page_next")
 def page_next(spark, sf_dir):
     first = paging.page(_logs(spark, sf_dir), LogFilter.of(**PAGE), check_limit(None))
-    condition = LogFilter.of(cursor=first.first()["next_cursor"], **PAGE)
+    condition = LogFilter.of(**PAGE).after(first.first()["next_cursor"])
     return paging.page(_logs(spark, sf_dir, condition), condition, check_limit(None))
 
 

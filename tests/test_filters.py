@@ -45,10 +45,6 @@ def test_bad_limit(raw, text):
         ({"start": "2024-01-02", "end": "2024-01-02", "level": "x"}, "'end' must be later than 'start'"),
         ({"level": "fatal"}, "unsupported log level: 'fatal'"),
         ({"level": ""}, "unsupported log level: ''"),
-        ({"cursor": "abc"}, "invalid or malformed cursor"),
-        ({"cursor": "e30"}, "invalid or malformed cursor"),
-        ({"cursor": "W10"}, "invalid or malformed cursor"),
-        ({"cursor": "é"}, "invalid or malformed cursor"),
     ],
 )
 def test_bad_query_arguments(arguments, text):
@@ -57,6 +53,27 @@ def test_bad_query_arguments(arguments, text):
     assert str(error.value) == text
 
 
+@pytest.mark.parametrize("cursor", ["abc", "e30", "W10", "é", "eyJ0cyI6MSwiaWQiOjJ9"])
+def test_bad_cursor(cursor):
+    with pytest.raises(InvalidArgument, match="^invalid or malformed cursor$"):
+        LogFilter().after(cursor)
+
+
+def test_order_of_checks(new_store):
+    store = new_store()
+    bad = {"start": "x", "level": "x", "limit": "x", "cursor": "x"}
+    for name, text in [
+        ("start", "invalid timestamp for 'start'"),
+        ("level", "unsupported log level: 'x'"),
+        ("limit", "limit must be an integer"),
+        ("cursor", "invalid or malformed cursor"),
+    ]:
+        with pytest.raises(InvalidArgument) as error:
+            store.query(**bad)
+        assert str(error.value) == text
+        del bad[name]
+
+
 GOOD_AGGREGATE = {"start": "2024-01-01", "end": "2024-01-02", "bucket": "1h"}
 
 
@@ -80,7 +97,7 @@ def test_bad_aggregate_arguments(changes, text):
 
 
 def test_empty_texts_are_no_filter(spark):
-    assert LogFilter.of(service="", q="", cursor="").predicates(by_day=True) == []
+    assert LogFilter.of(service="", q="").after("").predicates(by_day=True) == []
 
 
 MESSAGES = ["100% DONE", "100 done", "a_b", "axb", "C:\\dir", "line\nbreak", "ÉTÉ", "50%", "dd", "d"]

@@ -95,7 +95,7 @@ def test_cursor_condition_reaches_the_scan(spark, new_store):
     cursor = store.query(limit=500)["next_cursor"]
     out = io.StringIO()
     with redirect_stdout(out):
-        LogFilter.of(cursor=cursor).apply(store.logs.scan()).explain("formatted")
+        LogFilter().after(cursor).apply(store.logs.scan()).explain("formatted")
     plan = out.getvalue()
     assert "LessThanOrEqual(ts," in plan and "Or(LessThan(ts," in plan and "LessThan(id," in plan
     assert "PartitionFilters: [isnotnull(day" in plan

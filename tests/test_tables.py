@@ -20,6 +20,8 @@ def test_store_end_to_end(spark, new_store):
     store = new_store()
     assert store.ingest(bodies_from_events(spark, SMALL), as_of=parse_iso_text(AS_OF)) == (550, 450)
     assert store.rejects.scan().count() == 450
+    outcomes = store.outcomes(bodies_from_events(spark, SMALL), as_of=parse_iso_text(AS_OF)).collect()
+    assert {(r.accepted, r.rejected, r.outcome) for r in outcomes} == {(55, 45, "accepted")}
     found = store.query(service="s", limit=5)
     assert len(found["logs"]) == 5 and isinstance(found["logs"][0]["attributes"], dict)
     hourly = store.aggregate(start="2024-01-01", end="2024-02-01", bucket="1h").collect()
