@@ -53,3 +53,9 @@ def stored(frame: DataFrame) -> DataFrame:
 def held_out(column: str = "doc_id") -> Column:
     """Rows that no label may be learned from: crc32 of the id as text, mod 5, is 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this session made in the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

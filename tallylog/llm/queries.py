@@ -5,14 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallylog.llm import exact_dedup, mixing, simhash
-from tallylog.llm.common import read, stored
-from tallylog.session import configure, fresh_name
+from tallylog.llm import bpe, exact_dedup, html_cut, mixing, simhash, warc
+from tallylog.llm.common import read, remove_folder, stored
+from tallylog.session import configure, fresh_name, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.extract(read(spark, sf_dir, "pages"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, ranks, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken")
@@ -23,6 +37,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "fingerprint", "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over new archives, which are deleted once the result is stored."""
+    folder = f"{shared_folder(spark)}/{fresh_name('warc')}"
+    warc.write_archives(warc.records_of(read(spark, sf_dir, "pages")), folder)
+    records = stored(warc.read_archives(spark, folder, payloads=False).drop("url", "payload"))
+    remove_folder(spark, folder)
+    return warc.with_originals(records).select(
+        "page_id", F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over a new index, which is dropped once the result is stored."""
     index = exact_dedup.DigestIndex(spark, fresh_name("digest_index")).create()
@@ -34,13 +59,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_mixing": op5_mixing,
     "op7_simhash": op7_simhash,
+    "op8_warc": op8_warc,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL: dict[str, str] = {
     "op5_mixing": mixing.SQL,
+    "op8_warc": warc.SQL,
     "op10_exact_dedup": exact_dedup.SQL.format(docs="documents"),
 }
 
