@@ -59,3 +59,38 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder that this session made in the shared folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def labelled_sample(labels: DataFrame, label: str, most: dict[int, int], seed: int = 11) -> DataFrame:
+    """``doc_id, label, n_class``: at most ``most[c]`` labelled ids of each class, none held out.
+
+    ``n_class`` is the number of all such ids of the class. The choice is by hash, and the
+    result has at most the sum of ``most`` rows.
+    """
+    rows = (
+        labels.where(~held_out())
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg(F.max(label).cast("int").alias("label"))
+        .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+    )
+    parts = []
+    for value, limit in most.items():
+        own = rows.where(F.col("label") == value)
+        chosen = own.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(limit)
+        parts.append(chosen.withColumn("n_class", F.lit(own.count()).cast("long")))
+    sample = parts[0]
+    for part in parts[1:]:
+        sample = sample.union(part)
+    return sample
+
+
+def text_pieces(text: str, size: int = 1 << 20):
+    """The text in parts of about ``size`` characters, cut at spaces or line ends."""
+    start = 0
+    while len(text) - start > 2 * size:
+        cut = max(text.find(" ", start + size), text.find("\n", start + size))
+        if cut < 0:
+            break
+        yield text[start:cut]
+        start = cut
+    yield text[start:]
