@@ -6,13 +6,20 @@ it again as the next stage's input.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallylog.llm import exact_dedup, mixing, simhash
+from tallylog.llm import bpe, exact_dedup, mixing, simhash, toxicity_knn
 from tallylog.llm.common import keep_rows, read, stored
 from tallylog.session import configure, fresh_name, shared_folder
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that aren't toxic."""
+    scored = toxicity_knn.score(docs, read(spark, sf_dir, "labels"))
+    return keep_rows(docs, scored.where("predicted = 0"))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     index = exact_dedup.DigestIndex(spark, fresh_name("digest_index")).create()
@@ -33,10 +40,18 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.emit(docs)
 
 
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, without its text."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "n_chars"))
+
+
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("exact dedup", exact_stage),
     ("SimHash near-dedup", near_stage),
     ("mixing sources to target weights", mixing_stage),
+    ("byte-level BPE encoding and decoding", token_stage),
 ]
 
 #: The stages use trained models and SimHash, which SQL can't express.

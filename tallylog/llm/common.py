@@ -13,6 +13,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 ROW = "_row"
 LAST = (1 << 63) - 1
+LEAST_SPLITS = 64
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,8 +33,13 @@ def with_rows(docs: DataFrame) -> DataFrame:
     """Docs with a number per row.
 
     The number is the same whenever the same files are scanned with the same
-    settings, so a decision made on a narrow copy can be joined to the whole rows.
+    settings, so a decision made on a narrow copy can be joined to the whole rows. How
+    files are split must not depend on the executors there are at the time, so the
+    session's least number of splits is fixed unless it is set.
     """
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(LEAST_SPLITS))
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 

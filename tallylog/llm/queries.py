@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylog.llm import bpe, exact_dedup, html_cut, mixing, quality_nbsvm, simhash, toxicity_knn, warc
+from tallylog.llm import bpe, ctph, exact_dedup, html_cut, mixing, quality_nbsvm, simhash, toxicity_knn, warc
 from tallylog.llm.common import read, remove_folder, stored
 from tallylog.session import configure, fresh_name, shared_folder
 
@@ -37,6 +37,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.compare_with_next(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return marked.select("doc_id", "fingerprint", "component_id")
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_mixing": op5_mixing,
+    "op6_fingerprints": op6_fingerprints,
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
