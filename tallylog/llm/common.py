@@ -44,8 +44,12 @@ def with_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The docs whose row number is in ``rows``; ``docs`` must be a table scan."""
-    return with_rows(docs).join(rows.select(ROW), ROW, "left_semi").drop(ROW)
+    """The docs whose row number is in ``rows``; ``docs`` must be a table scan.
+
+    The columns go along in a struct, so their names can't clash.
+    """
+    whole = with_rows(docs.select(F.struct("*").alias("doc")))
+    return whole.join(rows.select(ROW), ROW, "left_semi").select("doc.*")
 
 
 def stored(frame: DataFrame) -> DataFrame:

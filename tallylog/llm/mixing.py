@@ -89,10 +89,8 @@ def mix(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
 def emit(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
     """The mix itself: each document as often as it is taken; ``docs`` must be a table scan."""
     chosen = mix(docs, seed, **shares).where("copies > 0").select(ROW, F.col("copies").alias("_copies"))
-    rows = with_rows(docs).join(chosen, ROW)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop(
-        ROW, "_copies", "_copy"
-    )
+    rows = with_rows(docs.select(F.struct("*").alias("doc"))).join(chosen, ROW)
+    return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("doc.*")
 
 
 #: DuckDB SQL of mix() with the standard parameters, without the row number.
