@@ -1,0 +1,470 @@
+"""Each operator against a brute-force version or an exact round trip, and on defined edge cases."""
+
+import gzip
+import hashlib
+import math
+import os
+import random
+import re
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from conftest import SMALL
+
+from tallylog.llm import bpe, ctph, exact_dedup, html_cut, mixing, quality_nbsvm, simhash, toxicity_knn, warc, window_dedup
+from tallylog.llm.common import keep_rows
+from tallylog.session import fresh_name, shared_folder
+
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, kept string, fp int"
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SPACES = " \t\n\r\x0b\f"
+
+
+def documents(rows):
+    return [(i, t, "en", s, None, "own", "x", 1) for i, t, s in rows]
+
+
+@pytest.fixture(scope="module")
+def odd_rows():
+    long = " ".join(random.Random(3).choice(["alpha", "beta", "ünïcode", "gamma"]) + str(i % 97) for i in range(30_000))
+    return [
+        (1, "one two three four", "a"),
+        (1, "one two three four", "a"),
+        (2, None, "b"),
+        (3, "", None),
+        (None, "a\tb\n c", "a"),
+        (None, None, None),
+        (7, " \x0b\x1c x ", "c"),
+        (8, long, "a"),
+        (9, long, "b"),
+        (10, "Of " * 500, "b"),
+        (11, "one  two\tthree four", "b"),
+        (12, "日本語 テキスト 😀 é", "c"),
+    ]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, odd_rows):
+    path = f"{shared_folder(spark)}/{fresh_name('odd')}"
+    spark.createDataFrame(documents(odd_rows), DOC_SCHEMA).coalesce(1).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOC_SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source").collect()
+    return {r.doc_id: r.text for r in rows}
+
+
+# --- HTML extraction ---
+
+
+def test_page_parts_are_told_apart():
+    page = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar">
+      <header><a href=/>Home</a> The Site</header><nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav>
+      <div id="cookie-notice">We use cookies <button>OK</button></div>
+      <main><h1>Big <em>ti</em>tle</h1><p>First&nbsp;paragraph &amp; more,<br>over lines.<p>Second &#233;.</p>
+      <div class="ad">Buy this now</div><ul><li>item</li></ul></main>
+      <aside class="sidebar"><h3>Related</h3><p>A longer teaser text that reads like prose, really.</p></aside>
+      <section id="comments"><p>I think this is a wonderful article and have much to say about it.</p></section>
+      <form><label>Mail</label></form><footer>&copy; me</footer><script>if(a<b){"</div>"}</script></body></html>"""
+    assert html_cut.main_text(page) == "Big title First paragraph & more, over lines. Second é. item"
+
+
+def test_pages_without_parts():
+    assert html_cut.main_text("") == html_cut.main_text("<script>x") == ""
+    assert html_cut.main_text("plain words only") == "plain words only"
+    assert html_cut.main_text("<p>a<b>b</b>c<br>d<!-- x --></i>") == "abc d"
+
+
+def test_cut_is_minimal():
+    rng = random.Random(1)
+    for _ in range(60):
+        n = rng.randint(1, 7)
+        costs = [rng.uniform(-3, 3) for _ in range(n)]
+        edges = [(a, b, rng.uniform(0, 2)) for a in range(n) for b in range(a) if rng.random() < 0.5]
+
+        def price(side, costs=costs, edges=edges):
+            terminals = sum(c for c, s in zip(costs, side, strict=True) if s and c > 0)
+            terminals += sum(-c for c, s in zip(costs, side, strict=True) if not s and c < 0)
+            return terminals + sum(w for a, b, w in edges if side[a] != side[b])
+
+        best = min(price([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert price(html_cut.minimum_cut(costs, edges)) == pytest.approx(best)
+
+
+def test_extract_keeps_every_page(spark):
+    rows = [(1, "u", None), (None, None, ""), (2, "u", "<p>x"), (2, "u", "<p>x"), (3, "v", "<div>" * 5000 + "deep")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = [tuple(r) for r in html_cut.extract(pages).collect()]
+    assert sorted(found, key=str) == sorted(
+        [(1, "u", "", 0), (None, None, "", 0), (2, "u", "x", 1), (2, "u", "x", 1), (3, "v", "deep", 4)], key=str
+    )
+    assert html_cut.extract(pages.limit(0)).count() == 0
+
+
+# --- Classifiers ---
+
+
+def held_out_accuracy(spark, query, label):
+    from tallylog.llm.queries import llm_queries
+
+    folder = "/root/testdata/sf0.1"
+    found = llm_queries()[query](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
+    rows = found.where("held_out").select(label, "predicted", "score").collect()
+    assert all(0 <= r.score <= 1 for r in rows)
+    return Counter((r[label], r.predicted) for r in rows)
+
+
+def test_quality_held_out(spark):
+    counts = held_out_accuracy(spark, "op2_quality", "quality")
+    assert counts[1, 1] + counts[0, 0] >= 0.98 * sum(counts.values())
+
+
+def test_toxicity_held_out(spark):
+    counts = held_out_accuracy(spark, "op9_toxicity", "toxic")
+    assert counts[1, 1] >= 0.85 * (counts[1, 1] + counts[1, 0])
+    assert counts[0, 1] <= 0.02 * (counts[0, 1] + counts[0, 0])
+
+
+def test_dual_descent_separates():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    labels = np.arange(200) % 2
+    rows = [np.unique(np.concatenate((rng.integers(0, 50, 5), [60 + int(y)]))) for y in labels]
+    model = quality_nbsvm.Model(rows, labels, np.ones(200))
+    assert all((model.score(r) > 0.5) == bool(y) for r, y in zip(rows, labels, strict=True))
+
+
+def test_nearest_examples_are_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    vectors = []
+    for _ in range(500):
+        ids = np.unique(rng.integers(0, 40, rng.integers(1, 9)))
+        weights = rng.random(len(ids))
+        vectors.append((ids, weights / np.linalg.norm(weights)))
+    index = toxicity_knn.BlockMaxIndex(vectors, 40, block=16)
+    dense = np.zeros((500, 40))
+    for row, (ids, weights) in zip(dense, vectors, strict=True):
+        row[ids] = weights
+    for ids, weights in vectors[:100]:
+        best, products = index.nearest(ids, weights, 10)
+        exact = dense[:, ids] @ weights
+        assert products == pytest.approx(np.sort(exact)[::-1][:10])
+        assert exact[best] == pytest.approx(products)
+
+
+def test_classifiers_without_labels(odd, empty, labels):
+    for frame, n in ((odd, 12), (empty, 0)):
+        assert {r.score for r in toxicity_knn.score(frame, labels).collect()} <= {0.0}
+        assert quality_nbsvm.score(frame, labels).count() == n
+
+
+def test_classifiers_on_odd_rows(odd, spark):
+    known = [(i, i % 2, int(i > 8)) for i in range(1, 13)]
+    labels = spark.createDataFrame([*known, (None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
+    for scored in (toxicity_knn.score(odd, labels), quality_nbsvm.score(odd, labels)):
+        rows = scored.collect()
+        assert len(rows) == 12 and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in rows)
+
+
+# --- Substring dedup ---
+
+
+def brute_windows(rows, window=35):
+    words = [(text or "").encode().split() for text in rows]
+    seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for w in words:
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone[i : i + window] = [True] * window
+        out.append((len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
+    return out
+
+
+def test_windows_equal_brute_force(spark, small):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    expected = dict(zip(small, brute_windows(small.values()), strict=True))
+    assert any(e[1] for e in expected.values())
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in window_dedup.remove_repeats(docs).collect()}
+    assert found == expected
+
+
+def test_windows_of_odd_rows(odd, odd_rows, empty, monkeypatch):
+    for piece in (1 << 20, 3000):
+        monkeypatch.setattr(window_dedup, "text_pieces", lambda text, piece=piece: pieces(text, piece))
+        found = [(r.n_words, r.n_removed, r.kept_text) for r in window_dedup.remove_repeats(odd).collect()]
+        assert Counter(found) == Counter(brute_windows([r[1] for r in odd_rows]))
+    assert window_dedup.remove_repeats(empty).count() == 0
+
+
+def pieces(text, size):
+    from tallylog.llm.common import text_pieces
+
+    return text_pieces(text, size)
+
+
+# --- BPE ---
+
+
+def reference_encoding():
+    import base64
+
+    with open(RANKS, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_round_trip(odd, empty, spark, small):
+    reference = reference_encoding()
+    texts = spark.createDataFrame(list(small.items()), "doc_id long, text string")
+    for frame in (odd.select("doc_id", "text"), texts):
+        keep = ("doc_id", "text")
+        encoded = bpe.encode(frame, RANKS, public_tokenizers.PATTERN, keep=keep)
+        for r in encoded.collect():
+            assert r.ids == reference.encode_ordinary(r.text or "") and r.n_tokens == len(r.ids)
+        for r in bpe.decode(encoded, RANKS, keep=keep).collect():
+            assert bytes(r.decoded) == (r.text or "").encode()
+    assert bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_offsets_cover_characters():
+    tokenizer = bpe.tokenizer_json(RANKS)
+    encoder, decoder = bpe.Encoder(tokenizer, public_tokenizers.PATTERN, offsets=True), bpe.Decoder(tokenizer)
+    for text in ("plain words, 12 of them", "日本語 😀x é", "a b"):
+        ids, spans = encoder.encode(text)
+        for number, (start, end) in zip(ids.tolist(), spans.tolist(), strict=True):
+            assert decoder.tokens[number] in text[start:end].encode()
+
+
+def test_long_texts_are_cut_between_matches(monkeypatch):
+    reference, text = reference_encoding(), "some words 12 and,  more  of\n them! don't 日本 " * 300
+    monkeypatch.setattr(bpe, "PIECE", 100)
+    ids, _ = bpe.Encoder(bpe.tokenizer_json(RANKS), public_tokenizers.PATTERN).encode(text)
+    assert ids.tolist() == reference.encode_ordinary(text)
+
+
+# --- Mixing ---
+
+
+def brute_targets(sizes, share=1.5):
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    targets, capped = dict.fromkeys(order, 0.0), set()
+    while len(capped) < len(order):
+        rest = share * sum(sizes.values()) - sum(2.0 * sizes[s] for s in capped)
+        level = rest / sum(weights[s] for s in order if s not in capped)
+        over = {s for s in order if s not in capped and 2.0 * sizes[s] <= weights[s] * level}
+        if not over:
+            return {s: 2.0 * sizes[s] if s in capped else weights[s] * level for s in order}
+        capped |= over
+    return {s: 2.0 * sizes[s] for s in order}
+
+
+def test_mixing_of_odd_rows(odd, odd_rows, empty):
+    sizes = defaultdict(int)
+    for _, text, source in odd_rows:
+        sizes[source] += len((text or "").encode().split())
+    targets = brute_targets(sizes)
+    rows = mixing.mix(odd).collect()
+    assert len(rows) == 12
+    for r in rows:
+        assert r.target in [pytest.approx(t) for t in targets.values()] and 0 <= r.copies <= 2 and r.taken == r.size * r.copies
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(odd).collect()))
+    emitted = mixing.emit(odd)
+    assert emitted.columns == odd.columns
+    assert Counter(r.doc_id for r in emitted.collect()) == Counter(x.doc_id for x in rows for _ in range(x.copies))
+    assert mixing.mix(empty).count() == 0 and mixing.emit(empty).count() == 0
+
+
+def test_many_sources_take_the_other_join(odd, monkeypatch):
+    small = sorted(map(str, mixing.mix(odd).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.mix(odd).collect())) == small
+
+
+# --- Fingerprints ---
+
+
+def test_piecewise_hashing_of_odd_rows(odd, odd_rows, empty):
+    order = sorted(odd_rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+    expected = Counter()
+    for (i, text, _), (_, after, _) in zip(order, order[1:] + order[:1], strict=True):
+        text, after = text or "", after or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        a, b, c = map(ctph.fingerprint, (text, edited, after))
+        expected[i, len(text), hashlib.sha256(edited.encode()).hexdigest(), a, b, ctph.likeness(a, b), ctph.likeness(a, c)] += 1
+    assert Counter(map(tuple, ctph.compare_with_next(odd).collect())) == expected
+    assert ctph.compare_with_next(empty).count() == 0
+    assert ctph.compare_with_next(odd.where("doc_id = 8")).first().near_next == 1.0
+
+
+def test_likeness(small, monkeypatch):
+    texts = [t for t in small.values() if len(t) > 2000][:40]
+    prints = [ctph.fingerprint(t) for t in texts]
+    for i, (text, own) in enumerate(zip(texts, prints, strict=True)):
+        assert ctph.likeness(own, own) == 1.0
+        changed = ctph.fingerprint(text.replace("the", "THE", 1)[5:])
+        assert ctph.likeness(own, changed) > 0.6
+        other = prints[i - 1]
+        assert 0 <= ctph.likeness(own, other) == ctph.likeness(other, own) <= 1
+    monkeypatch.setattr(ctph, "SEGMENT", 257)
+    assert [ctph.fingerprint(t) for t in texts] == prints
+
+
+# --- SimHash ---
+
+
+def brute_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def brute_components(ids, prints):
+    parent = list(range(len(ids)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
+                parent[root(a)] = root(b)
+    least = {}
+    for i, number in enumerate(ids):
+        r = root(i)
+        least[r] = min((x for x in (least.get(r), number) if x is not None), default=None)
+    return [least[root(i)] for i in range(len(ids))]
+
+
+@pytest.mark.parametrize("limit", [64, 1])
+def test_simhash_of_odd_rows(odd, odd_rows, empty, limit):
+    ids, prints = [r[0] for r in odd_rows], [brute_fingerprint(r[1]) for r in odd_rows]
+    expected = Counter(zip(ids, (f"{p:016x}" for p in prints), brute_components(ids, prints), strict=True))
+    rows = simhash.near_duplicates(odd, list_limit=limit).collect()
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in rows) == expected
+    assert sum(r.kept for r in rows) == len({(r.component_id, r.fingerprint) for r in rows if r.kept})
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("limit", [64, 3, 1])
+@pytest.mark.parametrize("distance", [0, 1, 2])
+def test_links_have_the_components_of_all_pairs(spark, limit, distance):
+    rng = random.Random(distance)
+    prints = [rng.getrandbits(64) for _ in range(60)]
+    for _ in range(240):
+        prints.append(rng.choice(prints) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    prints = sorted(set(prints))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    frame = spark.createDataFrame([(s,) for s in signed], "fp long")
+    found = simhash.links(frame, distance, limit).collect()
+    assert all((a ^ b).bit_count() <= distance or ((a ^ b) & (1 << 64) - 1).bit_count() <= distance for a, b in found)
+
+    def groups(pairs):
+        parent = {s: s for s in signed}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+        return {s: root(s) for s in signed}
+
+    every = [(a, b) for i, a in enumerate(signed) for j, b in enumerate(signed[:i]) if (prints[i] ^ prints[j]).bit_count() <= distance]
+    assert groups(found) == groups(every)
+
+
+# --- WARC ---
+
+
+def test_archives_round_trip(spark):
+    big = "<p>" + "wörter " * 300
+    rows = [
+        (1, "http://a/ b\r\n", big), (5, "http://b", big), (5, "http://b", big), (3, None, None), (4, "x", ""), (None, "y", big),
+        (6, "z", "short\r\n\r\nWARC/1.1\r\n"), (7, "z", "short\r\n\r\nWARC/1.1\r\n"), (8, "w", big + "\r\n\r\nmore"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    folder = f"{shared_folder(spark)}/{fresh_name('warc')}"
+    warc.write_archives(warc.records_of(pages), folder, records_per_archive=2)
+    names = [n for n in os.listdir(folder.removeprefix("file:")) if n.endswith(".gz")]
+    assert len(names) >= 4
+    with gzip.open(f"{folder.removeprefix('file:')}/{names[0]}") as archive:
+        assert archive.read().startswith(b"WARC/1.1\r\nWARC-Type: ")
+    records = warc.read_archives(spark, folder)
+    texts = Counter(r.payload for r in records.where("record_type = 'response'").collect())
+    assert texts == Counter([big, "", "", rows[6][2], rows[7][2], rows[8][2]])
+    found = Counter((r.page_id, r.n_bytes, r.digest, r.record_type, r.refers_to) for r in warc.with_originals(records).collect())
+    large = (len(big.encode()), hashlib.sha1(big.encode()).hexdigest())
+    assert found[5, *large, "response", None] == 1 and found[5, *large, "revisit", 5] == 1
+    assert found[1, *large, "revisit", 5] == 1 and found[None, *large, "revisit", 5] == 1
+    assert sum(found.values()) == 9 and sum(n for k, n in found.items() if k[3] == "revisit") == 3
+    again = f"{shared_folder(spark)}/{fresh_name('warc')}"
+    warc.rewrite_archives(spark, folder, again)
+    rewritten = warc.with_originals(warc.read_archives(spark, again)).collect()
+    assert Counter((r.page_id, r.n_bytes, r.digest, r.record_type, r.refers_to) for r in rewritten) == found
+
+
+def test_no_pages(spark):
+    folder = f"{shared_folder(spark)}/{fresh_name('warc')}"
+    warc.write_archives(warc.records_of(spark.createDataFrame([], "page_id long, url string, html string")), folder)
+    assert warc.with_originals(warc.read_archives(spark, folder)).count() == 0
+
+
+# --- Exact dedup ---
+
+
+def test_exact_dedup_over_loads(spark, odd, odd_rows, empty):
+    index = exact_dedup.DigestIndex(spark, fresh_name("digest_index"), buckets=4).create()
+    groups = defaultdict(list)
+    for i, text, _ in odd_rows:
+        groups[re.sub(f"[{SPACES}]+", " ", text or "")].append(i)
+    rows = exact_dedup.deduplicate(odd, index, "one").collect()
+    assert len(rows) == 12 and sum(r.kept for r in rows) == len(groups)
+    by_digest = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in groups.items()}
+    for r in rows:
+        ids = by_digest[r.text_sha256]
+        least = min((i for i in ids if i is not None), default=None)
+        assert (r.keep_id, r.group_size) == (least, len(ids))
+        assert not r.kept or r.doc_id == least
+    kept = keep_rows(odd, exact_dedup.deduplicate(odd, new_index(spark), "x").where("kept"))
+    assert kept.count() == len(groups) and kept.columns == odd.columns
+    later = spark.createDataFrame(documents([(0, "one two three four", "a"), (20, "brand new", "a")]), DOC_SCHEMA)
+    found = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.deduplicate(later, index, "two").collect()}
+    assert found == {0: (1, False), 20: (20, True)}
+    assert exact_dedup.deduplicate(empty, index, "three").count() == 0
+    plan = index.unseen(exact_dedup.digests(later))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    index.drop()
+
+
+def new_index(spark):
+    return exact_dedup.DigestIndex(spark, fresh_name("digest_index"), buckets=2).create()
+
+
+def test_likeness_bounds():
+    assert math.isclose(ctph.likeness("3::", "3:W:W"), 0.0)
