@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import os
 import statistics
-import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -21,7 +20,7 @@ from tallylog.functions.ids import uuid_from
 from tallylog.functions.timestamps import parse_iso_text
 from tallylog.plans.log_store import LogStore
 from tallylog.plans.queries import all_queries
-from tallylog.session import fresh_name
+from tallylog.session import fresh_name, shared_folder
 from tallylog.sources.event_logs import AS_OF, bodies_from_events, logs_from_events
 
 HEADLINE = [
@@ -63,7 +62,6 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", cpus)
         # Recording a call site for every expression takes longer than the queries.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tallylog-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -89,6 +87,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = session()
     known = all_queries()
+    consume(known["agg_1h"](spark, sf_dir))
     timings = {name: seconds(lambda n=name: consume(known[n](spark, sf_dir))) for name in HEADLINE}
 
     store = LogStore(spark, fresh_name("bench"))
@@ -103,6 +102,11 @@ def main() -> None:
     cursor = store.query()["next_cursor"]
     calls = {
         "agg_1h_service": lambda: store.aggregate(bucket="1h", group_by="service", **month).collect(),
+        "agg_1m": lambda: store.aggregate(bucket="1m", **month).collect(),
+        "agg_filtered": lambda: store.aggregate(
+            bucket="1h", group_by="level", service="svc-4", q="ok", attributes={"vip": "true"}, **month
+        ).collect(),
+        "page_none": lambda: store.query(service="none"),
         "agg_1m_one_day": lambda: store.aggregate(bucket="1m", **day).collect(),
         "agg_1d_errors": lambda: store.aggregate(bucket="1d", level="error", **month).collect(),
         "page_first": lambda: store.query(),
@@ -113,7 +117,7 @@ def main() -> None:
     stored.update({name: seconds(call) for name, call in calls.items()})
 
     bodies = bodies_from_events(spark, sf_dir).withColumn("copy", copy)
-    landing = f"{tempfile.mkdtemp(prefix='tallylog-bodies-')}/bodies"
+    landing = f"{shared_folder(spark)}/{fresh_name('bodies')}"
     numbered = F.concat_ws("/", "batch_id", "copy").alias("batch_id")
     bodies.select(numbered, "raw").repartition(16).write.parquet(landing)
     as_of = parse_iso_text(AS_OF)

@@ -9,13 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The end is "no further character", since "$" also matches before a final newline.
-# year [-month [-day]] [T hour:minute [:second [.fraction]] [zone]]
-_YEAR = r"(\d{4})"
+# year [-month [-day]] [T hour:minute [:second [.fraction]] [zone]]; the T may be a space or
+# lower case, the zone may lack its colon or minutes, a six-digit year may have a sign.
+_YEAR = r"(\d{4}|\+00\d{4})"
 _DATE = rf"{_YEAR}(?:-(0[1-9]|1[0-2])(?:-(0[1-9]|[12]\d|3[01]))?)?"
 _CLOCK = r"([01]\d|2[0-3]):([0-5]\d)(?::([0-5]\d)(?:\.(\d+))?)?"
 _MIDNIGHT = r"24:00(?::00(?:\.0+)?)?"
-_ZONE = r"(Z|[+-](?:[01]\d|2[0-3]):[0-5]\d)?"
-ISO_SHAPE = rf"^{_DATE}(?:T(?:{_CLOCK}|({_MIDNIGHT})){_ZONE})?(?![\s\S])"
+_ZONE = r"([Zz]|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d)?)?"
+ISO_SHAPE = rf"^{_DATE}(?:[Tt ](?:{_CLOCK}|({_MIDNIGHT})){_ZONE})?(?![\s\S])"
 
 _ISO = re.compile(ISO_SHAPE, re.ASCII)
 
@@ -28,10 +29,10 @@ def _from_parts(parts: Column) -> Column:
     def number(n: int, default: int = 0) -> Column:
         return F.coalesce(parts[n - 1].try_cast("bigint"), F.lit(default))
 
-    zone = parts[8]
+    zone = F.replace(parts[8], F.lit(":"), F.lit(""))
     zone_minutes = F.coalesce(
         F.substring(zone, 2, 2).try_cast("bigint") * 60
-        + F.substring(zone, 5, 2).try_cast("bigint"),
+        + F.coalesce(F.substring(zone, 4, 2).try_cast("bigint"), F.lit(0)),
         F.lit(0),
     ) * F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
     first_of_month = F.make_date(number(1).cast("int"), number(2, 1).cast("int"), F.lit(1))
@@ -74,11 +75,13 @@ def parse_iso_text(text: object) -> datetime | None:
             seconds=int(second or 0),
             milliseconds=int((fraction or "0").ljust(3, "0")[:3]),
         )
-        if zone and zone != "Z":
-            offset = timedelta(hours=int(zone[1:3]), minutes=int(zone[4:6]))
+        if zone and zone not in "Zz":
+            offset = timedelta(hours=int(zone[1:3]), minutes=int(zone[3:].lstrip(":") or 0))
             moment = moment + offset if zone[0] == "-" else moment - offset
     except (ValueError, OverflowError):
-        return None
+        # Before year 1 or after 9999: the first or last moment there is bounds the same rows.
+        edge = datetime.min if int(year) <= 1 else datetime.max
+        return edge.replace(tzinfo=timezone.utc)
     return moment
 
 

@@ -23,6 +23,21 @@ RETENTION_DAYS = 30
 
 REFUSED_BODY = "request body must be a JSON object with a non-empty 'logs' array"
 
+START_REQUIRED = "'start' is required"
+END_REQUIRED = "'end' is required"
+BUCKET_INVALID = "bucket must be one of: 1m, 1h, 1d"
+GROUP_INVALID = "group_by must be 'service' or 'level'"
+LIMIT_INTEGER = "limit must be an integer"
+LIMIT_RANGE = "limit must be between 1 and %s"
+UNSUPPORTED_LEVEL = "unsupported log level: '%s'"
+INVALID_TIME = "invalid timestamp for '%s'"
+INVALID_CURSOR = "invalid or malformed cursor"
+END_BEFORE_START = "'end' must be later than 'start'"
+
+# Not in the contract: what this engine can't read, whatever the contract says of it.
+BODY_LIMIT = "request body exceeds a limit of the JSON reader (key length or nesting)"
+ENTRY_LIMIT = "entry exceeds a limit of the JSON reader"
+
 NOT_AN_OBJECT = "entry must be a JSON object"
 TIMESTAMP_REQUIRED = "timestamp is required"
 TIMESTAMP_INVALID = "invalid timestamp: must be a valid ISO 8601 string"

@@ -25,14 +25,14 @@ def check_aggregate(
     """Filter of an aggregate call, checked in the contract's order."""
     since, until = check_time(start, "start"), check_time(end, "end")
     if since is None:
-        raise InvalidArgument("'start' is required")
+        raise InvalidArgument(model.START_REQUIRED)
     if until is None:
-        raise InvalidArgument("'end' is required")
+        raise InvalidArgument(model.END_REQUIRED)
     check_order(since, until)
     if bucket not in model.BUCKET_SECONDS:
-        raise InvalidArgument("bucket must be one of: 1m, 1h, 1d")
+        raise InvalidArgument(model.BUCKET_INVALID)
     if group_by is not None and group_by not in model.GROUP_COLUMNS:
-        raise InvalidArgument("group_by must be 'service' or 'level'")
+        raise InvalidArgument(model.GROUP_INVALID)
     return LogFilter(
         service=service,
         level=check_level(level),

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import operator
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,20 +25,30 @@ class InvalidArgument(ValueError):
 def check_limit(raw: object) -> int:
     if raw is None:
         return model.DEFAULT_LIMIT
-    try:
-        number = float(raw.strip() or 0) if isinstance(raw, str) else float(raw)
-    except (TypeError, ValueError):
-        number = float("nan")
-    if not number.is_integer():
-        raise InvalidArgument("limit must be an integer")
+    number = _number(raw.strip()) if isinstance(raw, str) else raw
+    if not isinstance(number, (int, float)) or not float(number).is_integer():
+        raise InvalidArgument(model.LIMIT_INTEGER)
     if not 1 <= number <= model.MAX_LIMIT:
-        raise InvalidArgument(f"limit must be between 1 and {model.MAX_LIMIT}")
+        raise InvalidArgument(model.LIMIT_RANGE % model.MAX_LIMIT)
     return int(number)
 
 
+_DECIMAL = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", re.ASCII)
+_PREFIXED = re.compile(r"0([xX][0-9a-fA-F]+|[oO][0-7]+|[bB][01]+)")
+
+
+def _number(text: str) -> float | int | None:
+    """Number of a parameter's text: decimal, or with a 0x, 0o or 0b prefix; empty counts as 0."""
+    if not text:
+        return 0
+    if _PREFIXED.fullmatch(text):
+        return int(text, 0)
+    return float(text) if _DECIMAL.fullmatch(text) else None
+
+
 def check_level(raw: object) -> str | None:
     if raw is not None and raw not in model.LEVELS:
-        raise InvalidArgument(f"unsupported log level: '{raw}'")
+        raise InvalidArgument(model.UNSUPPORTED_LEVEL % raw)
     return raw
 
 
@@ -46,7 +57,7 @@ def check_time(raw: object, name: str) -> datetime | None:
         return None
     moment = parse_iso_text(raw)
     if moment is None:
-        raise InvalidArgument(f"invalid timestamp for '{name}'")
+        raise InvalidArgument(model.INVALID_TIME % name)
     return moment
 
 
@@ -55,13 +66,20 @@ def check_cursor(raw: str | None) -> Cursor | None:
         return None
     cursor = decode_text(raw)
     if cursor is None:
-        raise InvalidArgument("invalid or malformed cursor")
+        raise InvalidArgument(model.INVALID_CURSOR)
     return cursor
 
 
 def check_order(start: datetime | None, end: datetime | None) -> None:
     if start is not None and end is not None and end <= start:
-        raise InvalidArgument("'end' must be later than 'start'")
+        raise InvalidArgument(model.END_BEFORE_START)
+
+
+_FIRST_MOMENT = datetime.min.replace(tzinfo=timezone.utc)
+
+
+def _just_before(end: datetime) -> datetime:
+    return end - timedelta(microseconds=1) if end > _FIRST_MOMENT else end
 
 
 _QUERY_PARAMETERS = ("service", "level", "start", "end", "q", "limit", "cursor")
@@ -136,6 +154,10 @@ class LogFilter:
             return self
         return replace(self, start=bound)
 
+    def until(self, bound: datetime | None) -> LogFilter:
+        """The same filter with this upper time bound (exclusive)."""
+        return replace(self, end=bound)
+
     def predicates(self, by_day: bool) -> list[Column]:
         """One predicate per condition.
 
@@ -151,8 +173,7 @@ class LogFilter:
             found.append(ts >= literal(self.start))
         if self.end is not None:
             if by_day:
-                last = self.end - timedelta(microseconds=1)
-                found.append(day <= date_literal(last))
+                found.append(day <= date_literal(_just_before(self.end)))
             found.append(ts < literal(self.end))
         if self.cursor is not None:
             if by_day:

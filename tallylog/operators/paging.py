@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,6 +63,13 @@ def page(logs: DataFrame, condition: LogFilter, limit: int) -> DataFrame:
     )
 
 
+class Bound(NamedTuple):
+    """``found`` rows, limit + 1 at most, none older than ``since`` (None: no bound)."""
+
+    found: int
+    since: datetime | None
+
+
 def lower_bound(
     logs: DataFrame,
     condition: LogFilter,
@@ -70,14 +78,16 @@ def lower_bound(
     newest: datetime,
     first: timedelta = timedelta(hours=1),
     growth: int = 8,
-) -> datetime | None:
-    """Time that no row of the page is older than, or None if the page is not full.
+) -> Bound:
+    """Time that no row of the page is older than, and how many rows the page will find.
 
     A page comes from the newest rows that match, yet a top-k over the whole
-    table reads all of it. So the newest hour is tried first, then eight hours,
-    and so on back to ``oldest``; each try reads only ``ts`` and the columns the
-    filter names. The page itself then reads its wide columns from the bound on.
-    The answer is exact: rows at the bound itself are all included.
+    table reads all of it. So the newest hour is tried first, then the seven hours
+    before it, and so on back to ``oldest``; each try reads only its own span, and
+    only ``ts`` and the columns the filter names. If there are fewer matches than a page
+    takes, the bound is the oldest match. The page itself then reads its wide columns from
+    the bound on. The answer is exact: rows at the bound itself are all included. The last
+    try has no lower end but the filter's own, since rows may be older than any datetime.
     """
     top = newest
     if condition.end is not None:
@@ -85,24 +95,30 @@ def lower_bound(
     if condition.cursor is not None:
         top = min(top, condition.cursor.ts + timedelta(microseconds=1))
     bottom = oldest if condition.start is None else max(oldest, condition.start)
-    span = first
+    span, wanted, bound, until = first, limit + 1, None, condition.end
     while top > bottom:
         reach = top - span if span < top - bottom else bottom
         found = (
-            condition.since(reach)
+            (condition if reach == bottom else condition.since(reach))
+            .until(until)
             .apply(logs)
             .select("ts")
             .orderBy(F.col("ts").desc())
-            .limit(limit + 1)
+            .limit(wanted)
             .agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("ts")).alias("at"))
             .first()
         )
-        if found["n"] > limit:
-            return _EPOCH + timedelta(microseconds=found["at"])
-        if reach == bottom:
-            return None
-        span *= growth
-    return None
+        if found["n"]:
+            bound = found["at"]
+        wanted -= found["n"]
+        if not wanted or reach == bottom:
+            break
+        span, until = span * growth, reach
+    try:
+        since = None if bound is None else _EPOCH + timedelta(microseconds=bound)
+    except OverflowError:
+        since = None
+    return Bound(limit + 1 - wanted, since)
 
 
 def export_ordered(logs: DataFrame, condition: LogFilter = LogFilter()) -> DataFrame:

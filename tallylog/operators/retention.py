@@ -12,6 +12,9 @@ from tallylog.functions.ids import partition_name
 from tallylog.model import RETENTION_DAYS
 from tallylog.sources.log_table import LogTable
 
+# Days named in one statement; producers decide how many days there are.
+DROPPED_AT_ONCE = 100
+
 _log = logging.getLogger(__name__)
 
 
@@ -45,8 +48,9 @@ def drop_expired(table: LogTable, as_of: date, days: int = RETENTION_DAYS) -> li
     row is read.
     """
     gone = expired(table.partitions(), as_of, days).orderBy("range_start").collect()
-    if gone:
-        specs = ", ".join(f"PARTITION (day = DATE'{row.range_start}')" for row in gone)
+    for at in range(0, len(gone), DROPPED_AT_ONCE):
+        part = gone[at : at + DROPPED_AT_ONCE]
+        specs = ", ".join(f"PARTITION (day = DATE'{row.range_start}')" for row in part)
         table.spark.sql(f"ALTER TABLE {table.name} DROP IF EXISTS {specs}")
     return [row.partition_name for row in gone]
 

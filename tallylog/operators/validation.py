@@ -18,6 +18,7 @@ from tallylog.functions.json_text import (
     kind_word,
 )
 from tallylog.functions.timestamps import literal, parse_iso
+from tallylog.session import fresh_name
 
 
 _TEXT_FIELDS = ("timestamp", "level", "service", "message")
@@ -32,7 +33,7 @@ def _missing_or_not_text(name: str, required: str) -> list[tuple[Column, Column]
 
 
 def validate(
-    entries: DataFrame, as_of: Column | datetime, metrics: str = "validation"
+    entries: DataFrame, as_of: Column | datetime, metrics: str | None = None
 ) -> DataFrame:
     """Check entries against the contract; the first failing rule gives ``reason``.
 
@@ -43,8 +44,8 @@ def validate(
     Adds ``reason`` and ``ingested_at`` (``as_of``), and for accepted entries ``ts`` (milliseconds), ``level``,
     ``service``, ``message``, ``attributes`` (JSON), ``attr`` (text map) and ``id``.
     No shuffle is needed. The counts of accepted and rejected entries and of
-    refused batches are observed under the name ``metrics``; a stream shows them
-    in its progress.
+    refused batches are observed under the name ``metrics`` (a new one if not given, so that
+    validated frames can be combined); a stream shows them in its progress.
     """
     now = literal(as_of) if isinstance(as_of, datetime) else as_of
     latest = F.date_trunc("MILLISECOND", now) + F.expr(
@@ -61,6 +62,8 @@ def validate(
         "entry",
         "unknown",
         "body",
+        "text",
+        "beyond_limit",
         field.isNull().alias("not_object"),
         *(F.schema_of_variant(field[name]).alias(f"{name}_schema") for name in _TEXT_FIELDS),
         *(F.try_variant_get(field[name], "$", "string").alias(name) for name in _TEXT_FIELDS),
@@ -76,7 +79,9 @@ def validate(
 
     quoted = F.transform("unknown", lambda k: F.concat(F.lit("'"), k, F.lit("'")))
     rules = [
+        (F.col("index").isNull() & F.col("beyond_limit"), F.lit(model.BODY_LIMIT)),
         (F.col("index").isNull(), F.lit(model.REFUSED_BODY)),
+        (F.col("beyond_limit"), F.lit(model.ENTRY_LIMIT)),
         (F.col("not_object"), F.lit(model.NOT_AN_OBJECT)),
         *_missing_or_not_text("timestamp", model.TIMESTAMP_REQUIRED),
         (F.col("ts").isNull(), F.lit(model.TIMESTAMP_INVALID)),
@@ -108,7 +113,7 @@ def validate(
     # Counting here also keeps a later filter on the reason above this point; pushed
     # further down, it would evaluate all the rules a second time.
     checked = parsed.withColumn("reason", reason).observe(
-        metrics,
+        metrics or fresh_name("validation"),
         F.count_if(accepted).alias("accepted"),
         F.count_if(~accepted & F.col("index").isNotNull()).alias("rejected"),
         F.count_if(F.col("index").isNull()).alias("refused_batches"),
@@ -125,7 +130,7 @@ def validate(
         F.when(accepted, F.col("message")).alias("message"),
         F.when(accepted, attribute_json(*attributes)).alias("attributes"),
         F.when(accepted, attribute_map(*attributes)).alias("attr"),
-        F.when(~accepted, F.coalesce(F.to_json("entry"), F.col("body"))).alias("raw"),
+        F.when(~accepted, F.coalesce(F.to_json("entry"), F.col("text"), F.col("body"))).alias("raw"),
         now.alias("ingested_at"),
     )
 

@@ -38,13 +38,20 @@ class LogStore:
     def ingest(
         self, bodies: DataFrame, as_of: Column | datetime | None = None, load: str | None = None
     ) -> tuple[int, int]:
-        """Validate and store ``batch_id, raw`` bodies; returns (accepted, rejected).
+        """Validate and store ``batch_id, raw`` bodies; returns how many entries were
+        accepted and rejected, and stored, by this call.
 
-        For more than the cluster's disks hold at once, use :meth:`stream` with
+        With a ``load`` name the call can be repeated: it adds only what an earlier call
+        of that name did not store, so the same load twice is stored once, and one that
+        failed between its two writes is completed. For more than the cluster's disks hold at once, use :meth:`stream` with
         ``available_now``.
         """
         return store(
-            self._validated(bodies, as_of), self.logs, self.rejects, load or fresh_name("load")
+            self._validated(bodies, as_of),
+            self.logs,
+            self.rejects,
+            load or fresh_name("load"),
+            replay=load is not None,
         )
 
     def outcomes(self, bodies: DataFrame, as_of: Column | datetime | None = None) -> DataFrame:
@@ -75,10 +82,12 @@ class LogStore:
         size = check_limit(limit)
         condition = condition.after(cursor)
         span = self.logs.time_range()
+        bound = paging.Bound(0, None)
         if span is not None:
             bound = paging.lower_bound(self.logs.scan(), condition, size, *span)
-            condition = condition.since(bound)
-        return paging.page(self.logs.scan(), condition, size)
+        if not bound.found:
+            return paging.page(self.logs.scan().limit(0), condition, size)
+        return paging.page(self.logs.scan(), condition.since(bound.since), size)
 
     def query(
         self,
@@ -120,10 +129,23 @@ class LogStore:
         )
 
     def partitions(self) -> DataFrame:
-        """Stored days with row counts and time ranges."""
-        return retention.partition_inventory(self.logs.scan())
+        """Stored days, from the catalog; no data is read."""
+        return self.logs.partitions()
+
+    def partition_statistics(self, first: date | None = None, last: date | None = None) -> DataFrame:
+        """Stored days from ``first`` to ``last`` with row counts and time ranges, read from ``ts``."""
+        logs = self.logs.scan()
+        if first is not None:
+            logs = logs.where(F.col("day") >= F.lit(first))
+        if last is not None:
+            logs = logs.where(F.col("day") <= F.lit(last))
+        return retention.partition_inventory(logs)
 
     def expire(self, as_of: date | None = None, days: int = RETENTION_DAYS) -> list[str]:
-        """Drop days older than ``days``; returns the dropped partitions' names."""
+        """Drop days older than ``days``; returns the dropped partitions' names.
+
+        A failure is raised. :func:`tallylog.operators.retention.run_retention` is the
+        scheduled run, which logs it and leaves the days to the next one.
+        """
         today = as_of or datetime.now(timezone.utc).date()
-        return retention.run_retention(self.logs, today, days)
+        return retention.drop_expired(self.logs, today, days)

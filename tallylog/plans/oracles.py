@@ -148,7 +148,7 @@ FROM ranked WHERE r > {offset} AND r <= {offset + limit}
 _RETAINED = "day + 1 > DATE '2024-01-16'"
 
 
-def all_oracles() -> dict[str, str]:
+def _oracles() -> dict[str, str]:
     return {
         "scan_logs": f"""
 WITH {LOGS} SELECT id, strftime(ts, {_MICROS}) AS ts, level, service, message, attributes FROM logs
@@ -162,7 +162,7 @@ WITH {LOGS} SELECT id, strftime(ts, {_MICROS}) AS ts, level, service, message, a
         "filter_message": _filtered("message ILIKE '%purchase%'"),
         "filter_message_wildcard": _filtered("message ILIKE '%e%_1_ O%' ESCAPE '\\'"),
         "filter_message_escape": _filtered("message ILIKE '%00\\% Done%' ESCAPE '\\'"),
-        "filter_message_end": _filtered("message ILIKE '%done\\%' ESCAPE '\\'"),
+        "filter_message_end": _filtered("message ILIKE '%0\\% done%' ESCAPE '\\'"),
         "filter_attr": _filtered(f"{_attr('k')} = '69'"),
         "filter_attr_boolean": _filtered(f"{_attr('vip')} = 'true'"),
         "filter_attr_absent": _filtered(f"{_attr('region')} = 'eu'"),
@@ -186,6 +186,10 @@ FROM logs
 SELECT event_id,
        regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') AS plain,
        CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS whole,
+       concat(event_id % 9 + 1, '00000000000000000000') AS json_e20,
+       concat(event_id % 9 + 1, 'e+21') AS json_e21,
+       concat('0.00000', event_id % 9 + 1) AS json_millionth,
+       concat(event_id % 9 + 1, 'e-7') AS json_smaller,
        true AS plain_reads_back,
        true AS json_reads_back
 FROM events
@@ -203,7 +207,7 @@ FROM events
 """,
         "parse_iso": f"""
 SELECT event_id, strftime(
-  CASE event_id % 8
+  CASE event_id % 16
     WHEN 0 THEN date_trunc('millisecond', ts)
     WHEN 1 THEN date_trunc('millisecond', ts) - INTERVAL 2 HOURS
     WHEN 2 THEN date_trunc('millisecond', ts) + INTERVAL 330 MINUTES
@@ -211,6 +215,11 @@ SELECT event_id, strftime(
     WHEN 4 THEN date_trunc('minute', ts)
     WHEN 5 THEN date_trunc('day', ts) + INTERVAL 1 DAY
     WHEN 6 THEN NULL
+    WHEN 7 THEN date_trunc('millisecond', ts) - INTERVAL 2 HOURS
+    WHEN 8 THEN date_trunc('millisecond', ts) + INTERVAL 5 HOURS
+    WHEN 10 THEN date_trunc('second', ts)
+    WHEN 11 THEN date_trunc('second', ts)
+    WHEN 12 THEN NULL
     ELSE date_trunc('millisecond', ts)
   END, {_MICROS}) AS timestamp
 FROM events
@@ -364,3 +373,24 @@ SELECT CAST({_BATCH} AS VARCHAR) AS batch_id, {_INDEX} AS index, {_REASON} AS re
 FROM events WHERE {_REASON} IS NOT NULL
 """,
     }
+
+
+def all_oracles() -> dict[str, str]:
+    found = _oracles()
+    for name in ("page_first", "page_filtered", "page_next", "agg_1m", "agg_1h_service", "agg_filtered"):
+        found[f"store_{name}"] = found[name]
+    purchases = f"service = 'svc-3' AND message ILIKE '%purchase%' AND {_attr('k')} = '69'"
+    within = "ts >= TIMESTAMP '2024-01-10 06:30:00.5' AND ts < TIMESTAMP '2024-01-19 22:00:00'"
+    return found | {
+        "store_page_sparse": _page(purchases, 1000, 0),
+        "store_page_none": _page("false", 5, 0),
+        "store_export": found["export_ordered"],
+        "store_filter_time": f"{found['export_ordered']} WHERE {within}",
+        "store_partitions": found["partition_inventory"],
+        "stream_ingest_lines": f"SELECT * EXCLUDE (id) FROM ({found['stream_ingest_accepted']})",
+        "ingest_repeated": """
+SELECT count_if(ok) AS stored, count_if(ok) AS ids, count_if(NOT ok) AS reported, count_if(ok) AS accepted_1,
+       count_if(NOT ok) AS rejected_1, CAST(0 AS BIGINT) AS accepted_2, CAST(0 AS BIGINT) AS rejected_2
+FROM (SELECT event_id % 20 >= 9 AS ok FROM events)
+""",
+    }

@@ -26,9 +26,10 @@ from tallylog.functions.json_text import (
 from tallylog.functions.timestamps import bucket_start, iso_micros, iso_millis, parse_iso, parse_iso_text
 from tallylog.operators import aggregation, ingest, paging, retention, validation
 from tallylog.operators.filters import LogFilter, check_limit
-from tallylog.session import configure, fresh_name, shared_folder
+from tallylog.plans.log_store import LogStore
+from tallylog.session import configure, fresh_name, remove_folder, shared_folder
 from tallylog.sources import event_logs
-from tallylog.sources.envelopes import MICRO_BATCH_BYTES, explode_entries, parse_envelopes
+from tallylog.sources.envelopes import MICRO_BATCH_BYTES, explode_entries, parse_envelopes, stream_body_lines
 from tallylog.sources.log_table import LogTable, RejectTable, create_database
 from tallylog.streaming.ingest_stream import start_ingest, store
 
@@ -93,7 +94,7 @@ FILTERS = {
     "filter_message": {"q": "PURCHASE"},
     "filter_message_wildcard": {"q": "e%_1_ O"},
     "filter_message_escape": {"q": "00\\% D\\one"},
-    "filter_message_end": {"q": "done\\"},
+    "filter_message_end": {"q": "0\\% done"},
     "filter_attr": {"attributes": {"k": "69"}},
     "filter_attr_boolean": {"attributes": {"vip": "true"}},
     "filter_attr_absent": {"attributes": {"region": "eu"}},
@@ -152,10 +153,15 @@ def attr_as_text(spark, sf_dir):
 def number_text_query(spark, sf_dir):
     """Event values over many magnitudes, in both written forms."""
     value = F.col("value") * F.pow(F.lit(2.0), F.col("event_id") % 160 - 80)
+    power = (F.col("event_id") % 9 + 1).cast("double")
     return event_logs.read_events(spark, sf_dir).select(
         "event_id",
         number_text(F.col("value")).alias("plain"),
         number_text(F.floor(F.col("value")).cast("double")).alias("whole"),
+        number_text(power * 1e20, exponents=True).alias("json_e20"),
+        number_text(power * 1e21, exponents=True).alias("json_e21"),
+        number_text(power / 1e6, exponents=True).alias("json_millionth"),
+        number_text(power / 1e7, exponents=True).alias("json_smaller"),
         (number_text(value).cast("double") == value).alias("plain_reads_back"),
         (number_text(value, exponents=True).cast("double") == value).alias("json_reads_back"),
     )
@@ -183,7 +189,7 @@ def attributes_canonical(spark, sf_dir):
 
 
 ISO_TEXT_SQL = """
-CASE event_id % 8
+CASE event_id % 16
   WHEN 0 THEN concat({iso}, 'Z')
   WHEN 1 THEN concat({iso}, '+02:00')
   WHEN 2 THEN concat({iso}, '-05:30')
@@ -191,6 +197,12 @@ CASE event_id % 8
   WHEN 4 THEN concat(substr({iso}, 1, 16), 'Z')
   WHEN 5 THEN concat(substr({iso}, 1, 10), 'T24:00:00Z')
   WHEN 6 THEN substr({iso}, 12, 5)
+  WHEN 7 THEN concat({iso}, '+0200')
+  WHEN 8 THEN concat({iso}, '-05')
+  WHEN 9 THEN concat('+00', {iso}, 'Z')
+  WHEN 10 THEN concat(substr({iso}, 1, 10), ' ', substr({iso}, 12, 8))
+  WHEN 11 THEN concat(substr({iso}, 1, 10), 't', substr({iso}, 12, 8), 'z')
+  WHEN 12 THEN concat({iso}, ' or so')
   ELSE {iso}
 END
 """
@@ -430,15 +442,27 @@ def insert_if_absent(spark, sf_dir):
     return absent.select("service", iso_millis(F.col("minute")).alias("minute"), "id")
 
 
-def _new_tables(spark: SparkSession) -> tuple[LogTable, RejectTable]:
-    database = fresh_name("tallylog")
+_databases: dict[tuple[str, str], str] = {}
+
+
+def _new_database(spark: SparkSession, owner: str) -> str:
+    """New database for a query; the one of the same query's last call is dropped, with its tables."""
+    key = (spark.sparkContext.applicationId, owner)
+    if key in _databases:
+        spark.sql(f"DROP DATABASE IF EXISTS {_databases[key]} CASCADE")
+    _databases[key] = fresh_name("tallylog")
+    return _databases[key]
+
+
+def _new_tables(spark: SparkSession, owner: str) -> tuple[LogTable, RejectTable]:
+    database = _new_database(spark, owner)
     create_database(spark, database)
     return LogTable(spark, f"{database}.logs"), RejectTable(spark, f"{database}.rejects")
 
 
 @query("append_counts")
 def append_counts(spark, sf_dir):
-    logs, rejected = _new_tables(spark)
+    logs, rejected = _new_tables(spark, "append_counts")
     n_accepted, n_rejected = store(_validated(spark, sf_dir), logs, rejected, fresh_name("load"))
     return (
         logs.scan()
@@ -472,15 +496,15 @@ def retention_expired(spark, sf_dir):
     return retention.expired(inventory, RETENTION_AS_OF).select("partition_name", "rows")
 
 
-def _stored_logs(spark: SparkSession, sf_dir: str) -> LogTable:
-    logs, _ = _new_tables(spark)
+def _stored_logs(spark: SparkSession, sf_dir: str, owner: str) -> LogTable:
+    logs, _ = _new_tables(spark, owner)
     logs.append(event_logs.logs_from_events(spark, sf_dir), fresh_name("load"))
     return logs
 
 
 @query("retention_kept")
 def retention_kept(spark, sf_dir):
-    logs = _stored_logs(spark, sf_dir)
+    logs = _stored_logs(spark, sf_dir, "retention_kept")
     retention.drop_expired(logs, RETENTION_AS_OF)
     return paging.page_rows(logs.scan())
 
@@ -488,7 +512,7 @@ def retention_kept(spark, sf_dir):
 @query("retention_run")
 def retention_run(spark, sf_dir):
     """Names that the first run drops; the days left over are what the second finds."""
-    logs = _stored_logs(spark, sf_dir)
+    logs = _stored_logs(spark, sf_dir, "retention_run")
     dropped = retention.run_retention(logs, RETENTION_AS_OF)
     again = retention.run_retention(logs, RETENTION_AS_OF)
     kept = logs.partitions().select("partition_name", F.lit("kept").alias("state"))
@@ -501,7 +525,15 @@ def retention_run(spark, sf_dir):
 # --- Streaming ---
 
 
-def _streamed(spark: SparkSession, sf_dir: str) -> tuple[LogTable, RejectTable]:
+def _ingested_by_stream(spark: SparkSession, arriving: DataFrame, owner: str) -> tuple[LogTable, RejectTable]:
+    logs, rejected = _new_tables(spark, owner)
+    start_ingest(
+        arriving, logs, rejected, fresh_name("ingest"), as_of=_as_of(), available_now=True
+    ).awaitTermination()
+    return logs, rejected
+
+
+def _streamed(spark: SparkSession, sf_dir: str, owner: str) -> tuple[LogTable, RejectTable]:
     """Bodies laid down as files, then ingested by a stream that takes all there is."""
     landing = f"{shared_folder(spark)}/{fresh_name('landing')}"
     event_logs.bodies_from_events(spark, sf_dir).write.parquet(landing)
@@ -510,20 +542,85 @@ def _streamed(spark: SparkSession, sf_dir: str) -> tuple[LogTable, RejectTable]:
         .option("maxBytesPerTrigger", MICRO_BATCH_BYTES)
         .parquet(landing)
     )
-    logs, rejected = _new_tables(spark)
-    start_ingest(
-        arriving, logs, rejected, fresh_name("ingest"), as_of=_as_of(), available_now=True
-    ).awaitTermination()
-    return logs, rejected
+    tables = _ingested_by_stream(spark, arriving, owner)
+    remove_folder(spark, landing)
+    return tables
 
 
 @query("stream_ingest_accepted")
 def stream_ingest_accepted(spark, sf_dir):
-    logs, _ = _streamed(spark, sf_dir)
+    logs, _ = _streamed(spark, sf_dir, "stream_ingest_accepted")
     return paging.page_rows(logs.scan())
 
 
 @query("stream_ingest_rejects")
 def stream_ingest_rejects(spark, sf_dir):
-    _, rejected = _streamed(spark, sf_dir)
+    _, rejected = _streamed(spark, sf_dir, "stream_ingest_rejects")
     return rejected.scan().select("batch_id", "index", "reason")
+
+
+@query("stream_ingest_lines")
+def stream_ingest_lines(spark, sf_dir):
+    """The same bodies in files of one body per line; ids follow file and line, so they are left out."""
+    landing = f"{shared_folder(spark)}/{fresh_name('landing')}"
+    event_logs.bodies_from_events(spark, sf_dir).select("raw").write.text(landing)
+    logs, _ = _ingested_by_stream(spark, stream_body_lines(spark, landing), "stream_ingest_lines")
+    remove_folder(spark, landing)
+    return paging.page_rows(logs.scan()).drop("id")
+
+
+# --- Through the store, over its day-partitioned table ---
+
+
+@query("ingest_repeated")
+def ingest_repeated(spark, sf_dir):
+    """The same load twice, and once more under another name."""
+    store_ = LogStore(spark, _new_database(spark, "ingest_repeated"))
+    bodies = event_logs.bodies_from_events(spark, sf_dir)
+    calls = [store_.ingest(bodies, as_of=_as_of(), load=load) for load in ("one", "one")]
+    counts = [F.lit(n).cast("bigint").alias(f"{what}_{i}") for i, call in enumerate(calls, 1) for what, n in zip(("accepted", "rejected"), call, strict=True)]
+    stored = store_.logs.scan().agg(F.count(F.lit(1)).alias("stored"), F.count_distinct("id").alias("ids"))
+    return stored.crossJoin(store_.rejects.scan().agg(F.count(F.lit(1)).alias("reported"))).select("*", *counts)
+
+
+_stores: dict[tuple[str, str], LogStore] = {}
+
+
+def _store(spark: SparkSession, sf_dir: str) -> LogStore:
+    """All events of the folder, stored once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        store_ = LogStore(spark, fresh_name("tallylog"))
+        store_.logs.append(event_logs.logs_from_events(spark, sf_dir), "events")
+        _stores[key] = store_
+    return _stores[key]
+
+
+STORE_CALLS: dict[str, Callable[[LogStore], DataFrame]] = {
+    "store_page_first": lambda s: s.page(),
+    "store_page_filtered": lambda s: s.page("1000", **PAGE),
+    "store_page_next": lambda s: s.page(cursor=s.query(**PAGE)["next_cursor"], **PAGE),
+    "store_page_sparse": lambda s: s.page(limit=1000, service="svc-3", q="purchase", attributes={"k": "69"}),
+    "store_page_none": lambda s: s.page(service="none", limit=5),
+    "store_filter_time": lambda s: s.export(**FILTERS["filter_time"]),
+    "store_export": lambda s: s.export(),
+    "store_agg_1m": lambda s: s.aggregate(**AGGREGATES["agg_1m"]),
+    "store_agg_1h_service": lambda s: s.aggregate(**AGGREGATES["agg_1h_service"]),
+    "store_agg_filtered": lambda s: s.aggregate(**AGGREGATES["agg_filtered"]),
+    "store_partitions": lambda s: s.partition_statistics().select(
+        "partition_name",
+        F.col("range_start").cast("string").alias("range_start"),
+        F.col("range_end").cast("string").alias("range_end"),
+        "rows",
+        iso_millis(F.col("min_ts")).alias("min_ts"),
+        iso_millis(F.col("max_ts")).alias("max_ts"),
+    ),
+}
+
+
+def _store_query(call: Callable[[LogStore], DataFrame]) -> Query:
+    return lambda spark, sf_dir: call(_store(spark, sf_dir))
+
+
+for _name, _call in STORE_CALLS.items():
+    query(_name)(_store_query(_call))

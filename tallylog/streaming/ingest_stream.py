@@ -59,7 +59,7 @@ def start_ingest(
     """
     configure(logs.spark)
     entries = explode_entries(parse_envelopes(bodies))
-    validated = validate(entries, as_of if as_of is not None else F.current_timestamp())
+    validated = validate(entries, as_of if as_of is not None else F.current_timestamp(), "validation")
     first = [True]
 
     def write(batch: DataFrame, number: int) -> None:

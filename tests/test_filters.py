@@ -14,7 +14,7 @@ from tallylog.operators.filters import (
 
 
 @pytest.mark.parametrize(
-    "raw, size", [(None, 100), (1, 1), (1000, 1000), ("10", 10), ("1e2", 100), (5.0, 5)]
+    "raw, size", [(None, 100), (1, 1), (1000, 1000), ("10", 10), ("1e2", 100), (5.0, 5), ("0x10", 16), (" 7 ", 7)]
 )
 def test_limit(raw, size):
     assert check_limit(raw) == size
@@ -26,6 +26,9 @@ def test_limit(raw, size):
         ("x", "limit must be an integer"),
         (1.5, "limit must be an integer"),
         ("nan", "limit must be an integer"),
+        ("1_0", "limit must be an integer"),
+        ("inf", "limit must be an integer"),
+        ([], "limit must be an integer"),
         (0, "limit must be between 1 and 1000"),
         ("", "limit must be between 1 and 1000"),
         (1001, "limit must be between 1 and 1000"),

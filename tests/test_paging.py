@@ -72,8 +72,36 @@ def test_lower_bound_is_the_time_of_the_last_row_needed(spark, new_store):
     times = [r[0] for r in logs.select(F.unix_micros("ts")).orderBy(F.desc("ts")).collect()]
     for limit in (1, 10, 999):
         bound = lower_bound(logs, LogFilter(), limit, *span)
-        assert int(bound.timestamp() * 1e6) == times[limit]
-    assert lower_bound(logs, LogFilter(), 1000, *span) is None
+        assert bound.found == limit + 1 and int(bound.since.timestamp() * 1e6) == times[limit]
+    fewer = lower_bound(logs, LogFilter(), 1000, *span)
+    assert fewer.found == 1000 and int(fewer.since.timestamp() * 1e6) == times[-1]
+    assert lower_bound(logs, LogFilter(service="none"), 5, *span) == (0, None)
+
+
+def test_each_widening_reads_its_own_span(spark, new_store, monkeypatch):
+    store = new_store()
+    store.logs.append(logs_from_events(spark, SMALL), "load")
+    tried = []
+    apply = LogFilter.apply
+    monkeypatch.setattr(LogFilter, "apply", lambda self, logs: tried.append((self.start, self.end)) or apply(self, logs))
+    lower_bound(store.logs.scan(), LogFilter(service="none"), 5, *store.logs.time_range())
+    assert len(tried) > 2 and all(late[0] == early[1] for late, early in zip(tried, tried[1:], strict=False))
+
+
+def test_sparse_pages_are_bounded(spark, new_store):
+    store = new_store()
+    store.logs.append(logs_from_events(spark, SMALL), "load")
+    out = io.StringIO()
+    with redirect_stdout(out):
+        store.page(service="none", limit=5).explain("formatted")
+    assert "Scan parquet" not in out.getvalue()
+    newest = store.query(limit=3)["logs"]
+    out = io.StringIO()
+    with redirect_stdout(out):
+        store.page(start=newest[-1]["timestamp"], limit=50).explain("formatted")
+    assert out.getvalue().count("day=2024-01-") == 1
+    assert len(store.query(start=newest[-1]["timestamp"], limit=50)["logs"]) == 3
+    assert store.query(end="0001-01-01")["logs"] == store.query(end="0000-01-01")["logs"] == []
 
 
 def test_page_opens_only_the_newest_day(spark, new_store):

@@ -5,6 +5,7 @@ from contextlib import redirect_stdout
 from datetime import date
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tallylog.functions.ids import uuid_from
@@ -26,7 +27,7 @@ def test_store_end_to_end(spark, new_store):
     assert len(found["logs"]) == 5 and isinstance(found["logs"][0]["attributes"], dict)
     hourly = store.aggregate(start="2024-01-01", end="2024-02-01", bucket="1h").collect()
     assert sum(row["count"] for row in hourly) == 550
-    assert store.partitions().agg(F.sum("rows")).first()[0] == 550
+    assert store.partition_statistics().agg(F.sum("rows")).first()[0] == 550
     wide = store.aggregate(start="2024-01-01", end="2024-02-01", bucket="1d", count_type="bigint")
     assert dict(wide.dtypes)["count"] == "bigint"
 
@@ -42,6 +43,39 @@ def test_rows_are_in_their_day_and_files_are_sorted(spark, new_store):
         F.col("day").cast("string").alias("day"),
     )
     assert located.where("folder != day").count() == 0
+    placed = store.logs.scan().select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"), "service", "ts"
+    )
+    rows = [tuple(r) for r in placed.orderBy("file", "place").collect()]
+    assert all(a[2:] <= b[2:] for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0])
+
+
+def test_the_same_load_is_stored_once(spark, new_store):
+    store, bodies, now = new_store(), bodies_from_events(spark, SMALL), parse_iso_text(AS_OF)
+    assert store.ingest(bodies, as_of=now, load="x") == (550, 450)
+    assert store.ingest(bodies, as_of=now, load="x") == (0, 0)
+    assert store.logs.scan().count() == 550 and store.rejects.scan().count() == 450
+
+
+def test_a_load_cut_short_is_completed(spark, new_store, monkeypatch):
+    store, bodies, now = new_store(), bodies_from_events(spark, SMALL), parse_iso_text(AS_OF)
+
+    def fail(*_):
+        raise OSError("disk full")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(type(store.rejects), "append_missing", fail)
+        with pytest.raises(OSError):
+            store.ingest(bodies, as_of=now, load="x")
+    assert store.logs.scan().count() == 550 and store.rejects.scan().count() == 0
+    assert store.ingest(bodies, as_of=now, load="x") == (0, 450)
+    assert store.logs.scan().count() == 550
+
+
+def test_outcomes_can_be_combined(spark, new_store):
+    store, bodies, now = new_store(), bodies_from_events(spark, SMALL), parse_iso_text(AS_OF)
+    both = store.outcomes(bodies, as_of=now).union(store.outcomes(bodies, as_of=now))
+    assert both.count() == 20
 
 
 def test_a_hot_day_is_written_by_several_tasks(spark, new_store):
@@ -161,6 +195,15 @@ def test_failed_retention_is_logged_and_survived(spark, new_store, caplog):
     with caplog.at_level(logging.ERROR):
         assert retention.run_retention(store.logs, date(2024, 3, 1)) == []
     assert "failed" in caplog.text
+    with pytest.raises(AnalysisException):
+        store.expire(date(2024, 3, 1))
+
+
+def test_many_days_are_dropped_in_parts(spark, new_store, log_rows, monkeypatch):
+    monkeypatch.setattr(retention, "DROPPED_AT_ONCE", 2)
+    store = new_store()
+    store.logs.append(log_rows([(i, f"2024-01-0{i}", "s") for i in range(1, 6)]), "load")
+    assert len(store.expire(date(2024, 3, 1))) == 5 and store.logs.scan().count() == 0
 
 
 def test_empty_store(spark, new_store):

@@ -8,7 +8,7 @@ from tallylog import model
 from tallylog.functions.json_text import VARIANT_MAP, attribute_classes, attribute_json, attribute_map
 from tallylog.functions.timestamps import iso_millis, parse_iso, parse_iso_text
 from tallylog.operators.validation import batch_outcome, validate
-from tallylog.sources.envelopes import bodies_from_kafka, explode_entries, parse_envelopes, read_bodies
+from tallylog.sources.envelopes import bodies_from_kafka, explode_entries, parse_envelopes, read_bodies, read_body_lines
 
 AS_OF = parse_iso_text("2024-02-01T00:00:00Z")
 GOOD = {"timestamp": "2024-01-31T10:00:00Z", "level": "info", "service": "s", "message": "m"}
@@ -221,7 +221,15 @@ ISO = {
     "2026-13-01": None,
     "2026-07-20T25:00Z": None,
     "2026-07-20T14": None,
-    "2026-07-20 14:32:01": None,
+    "2026-07-20 14:32:01": "2026-07-20T14:32:01.000Z",
+    "2026-07-20t14:32:01z": "2026-07-20T14:32:01.000Z",
+    "2026-07-20T14:32:01+0200": "2026-07-20T12:32:01.000Z",
+    "2026-07-20T14:32:01.5-0530": "2026-07-20T20:02:01.500Z",
+    "2026-07-20 14:32+02": "2026-07-20T12:32:00.000Z",
+    "+002026-07-20T14:32:01Z": "2026-07-20T14:32:01.000Z",
+    "2026-07-20  14:32:01": None,
+    "2026-07-20T14:32:01+2": None,
+    "2026-07-20T14:32:01 or so": None,
     "1969-12-31T23:59:59.9999Z": "1969-12-31T23:59:59.999Z",
     "14:00": None,
     "": None,
@@ -248,6 +256,63 @@ def test_ids_do_not_depend_on_the_run(spark):
     assert first == again and len(set(first)) == 4
 
 
+def test_the_first_and_last_moments_do_not_raise():
+    assert parse_iso_text("0000-01-01").year == parse_iso_text("0001-01-01T00:00:00+02:00").year == 1
+    assert parse_iso_text("9999-12-31T23:59:59-02:00").year == 9999
+
+
+FRAMES = {
+    "trailing": '{"logs":[%s]} x',
+    "second": '{"logs":[%s]},{"a":1}',
+    "closed": '{"logs":[%s]}]',
+    "quotes": "{'logs':[%s]}",
+    "nan": '{"logs":[NaN,%s]}',
+    "object": '{"logs":{"a":%s}}',
+    "empty": '{"logs":[]}',
+}
+
+
+def test_refused_bodies(spark):
+    bodies = [text.replace("%s", entry()) for text in FRAMES.values()] + ["[1]", "5", "null", "", "{}"]
+    rows = run(spark, bodies).collect()
+    assert len(rows) == len(bodies)
+    assert {(r["index"], r.reason) for r in rows} == {(None, model.REFUSED_BODY)}
+
+
+def test_a_string_that_looks_like_an_entry(spark):
+    assert reasons(spark, [json.dumps(entry()), entry(), '"x"', '" {}"']) == [
+        model.NOT_AN_OBJECT, None, model.NOT_AN_OBJECT, model.NOT_AN_OBJECT
+    ]
+
+
+def test_an_odd_entry_leaves_the_others(spark):
+    number, message = '{"a":' + "1" * 1200 + "}", entry(message="m" * 21_000_000)
+    assert reasons(spark, [number, entry(), message, entry()]) == [model.ENTRY_LIMIT, None, model.ENTRY_LIMIT, None]
+
+
+@pytest.mark.parametrize("odd", ['{"' + "k" * 60_000 + '":1}', '{"a":' + "[" * 1200 + "]" * 1200 + "}"])
+def test_what_the_reader_cannot_take_is_called_so(spark, odd):
+    row = run(spark, ['{"logs":[' + odd + "," + entry() + "]}"]).first()
+    assert row["index"] is None and row.reason == model.BODY_LIMIT
+
+
+def test_a_body_beyond_a_single_value(spark):
+    n = 700_000
+    listed = F.concat_ws(",", F.array_repeat(F.lit(entry(message="m" * 130)), n))
+    body = spark.range(1).select(F.col("id").alias("batch_id"), F.concat(F.lit('{"logs":['), listed, F.lit("]}")).alias("raw"))
+    assert body.select(F.length("raw")).first()[0] > 2**27
+    counts = validate(explode_entries(parse_envelopes(body)), AS_OF).groupBy("reason").count().collect()
+    assert [tuple(r) for r in counts] == [(None, n)]
+
+
+def test_bodies_by_line(spark, tmp_path):
+    (tmp_path / "many.jsonl").write_text("\n".join(['{"logs":[' + entry() + "]}", "", '{"logs":[' + entry() + "]}\r", "x"]))
+    rows = validate(explode_entries(parse_envelopes(read_body_lines(spark, str(tmp_path)))), AS_OF).collect()
+    named = {r.batch_id.rsplit("/", 1)[1]: r.reason for r in rows}
+    assert named == {"many.jsonl#1": None, "many.jsonl#3": None, "many.jsonl#4": model.REFUSED_BODY}
+    assert len({r.id for r in rows if r.id}) == 2
+
+
 def test_sources(spark, tmp_path):
     pretty = json.dumps({"logs": [GOOD]}, indent=2)
     (tmp_path / "one.json").write_text(pretty)
