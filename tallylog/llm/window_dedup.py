@@ -123,12 +123,12 @@ def repeated_cells(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
 def _window_batches(window: int):
     """Digests of the windows in the spans asked for."""
-    names = [ROW, "start", "alone", "digest"]
+    names = [ROW, "start", "alone", "high", "low"]
 
     def batch_of(rows, starts, alone, digests):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int64()), pa.array(starts, pa.int64()), pa.array(alone, pa.bool_()), pa.array(digests, pa.binary())], names
-        )
+        halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        columns = [pa.array(rows, pa.int64()), pa.array(starts, pa.int64()), pa.array(alone, pa.bool_())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(halves[:, 0]), pa.array(halves[:, 1])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,12 +201,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     segments = rows.select(ROW, "text").mapInArrow(
         _segment_batches(window, gram), f"{ROW} long, anchor long, words long, span long"
     )
-    shared = segments.join(first_line, cell(0, F.col("anchor")) == F.col("cell0"), "left_semi")
+    shared = stored(segments.join(first_line, cell(0, F.col("anchor")) == F.col("cell0"), "left_semi"))
     grouped = shared.groupBy("anchor", "words").agg(
         F.count(F.lit(1)).alias("n"), F.first(ROW).alias(ROW), F.first("span").alias("span")
     )
-    repeated = grouped.where("n > 1").select(F.col("anchor").alias("a"), F.col("words").alias("w"))
-    whole = shared.join(repeated, (F.col("anchor") == F.col("a")) & (F.col("words") == F.col("w")), "left_semi").select(ROW, "span")
+    # Joined on the complement: both sides are then shuffled for the join, and a passage that very
+    # many documents share is split over tasks.
+    repeated = grouped.where("n > 1").select(F.bitwise_not("anchor").alias("a"), F.col("words").alias("w"))
+    same = (F.bitwise_not("anchor") == F.col("a")) & (F.col("words") == F.col("w"))
+    whole = shared.join(repeated, same, "left_semi").select(ROW, "span")
 
     mixed = (
         grouped.groupBy("anchor")
@@ -221,11 +224,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         .agg(F.collect_list(F.struct("span", (F.col("n") == 1).alias("alone"))).alias("asked"))
     )
     texts = rows.select(ROW, F.struct("doc_id", "text").alias("doc"))
-    windows = texts.join(asked, ROW).mapInArrow(_window_batches(window), f"{ROW} long, start long, alone boolean, digest binary")
-    again = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"))
+    windows = texts.join(asked, ROW).mapInArrow(
+        _window_batches(window), f"{ROW} long, start long, alone boolean, high long, low long"
+    )
+    counts = windows.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"))
+    again = counts.where("n > 1").select(F.bitwise_not("high").alias("h"), F.col("low").alias("l"))
     single = (
         windows.where("alone")
-        .join(again, F.col("digest") == F.col("d"), "left_semi")
+        .join(again, (F.bitwise_not("high") == F.col("h")) & (F.col("low") == F.col("l")), "left_semi")
         .select(ROW, (F.shiftleft("start", 8).bitwiseOR(F.lit(1))).alias("span"))
     )
     spans = whole.union(single).groupBy(ROW).agg(F.collect_list("span").alias("spans"))
