@@ -132,6 +132,24 @@ def main() -> None:
         "entries_per_second": round((accepted + rejected) / took),
     }
 
+    live = LogStore(spark, fresh_name("bench"))
+    arriving = f"{shared_folder(spark)}/{fresh_name('arriving')}"
+    one = bodies_from_events(spark, sf_dir)
+    one.limit(1).coalesce(1).write.parquet(arriving)
+    stream = spark.readStream.schema(one.schema).parquet(arriving)
+    running = live.stream(stream, fresh_name("live"), as_of=as_of, interval="1 second")
+    delays, loaded = [], []
+    for _ in range(3):
+        rows = live.logs.scan().count()
+        one.coalesce(4).write.mode("append").parquet(arriving)
+        started = time.perf_counter()
+        while live.logs.scan().count() == rows:
+            loaded.append(seconds(calls["agg_1h_service"], runs=1, warm_up=False))
+        delays.append(round(time.perf_counter() - started, 3))
+    running.stop()
+    ingest["seconds_to_visible"] = statistics.median(delays)
+    ingest["agg_1h_service_meanwhile"] = statistics.median(loaded) if loaded else None
+
     print(
         json.dumps(
             {

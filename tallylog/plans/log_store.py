@@ -141,6 +141,10 @@ class LogStore:
             logs = logs.where(F.col("day") <= F.lit(last))
         return retention.partition_inventory(logs)
 
+    def compact(self, day: date) -> int:
+        """Rewrite a closed day into few sorted files; returns its rows."""
+        return self.logs.compact(day)
+
     def expire(self, as_of: date | None = None, days: int = RETENTION_DAYS) -> list[str]:
         """Drop days older than ``days``; returns the dropped partitions' names.
 

@@ -384,6 +384,7 @@ def all_oracles() -> dict[str, str]:
     return found | {
         "store_page_sparse": _page(purchases, 1000, 0),
         "store_page_none": _page("false", 5, 0),
+        "store_compacted": found["export_ordered"],
         "store_export": found["export_ordered"],
         "store_filter_time": f"{found['export_ordered']} WHERE {within}",
         "store_partitions": found["partition_inventory"],

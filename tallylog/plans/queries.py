@@ -583,6 +583,19 @@ def ingest_repeated(spark, sf_dir):
     return stored.crossJoin(store_.rejects.scan().agg(F.count(F.lit(1)).alias("reported"))).select("*", *counts)
 
 
+@query("store_compacted")
+def store_compacted(spark, sf_dir):
+    """Two loads, then the first days rewritten: the same rows."""
+    store_ = LogStore(spark, _new_database(spark, "store_compacted"))
+    logs = event_logs.logs_from_events(spark, sf_dir)
+    early = F.col("level") == "error"
+    store_.logs.append(logs.where(early), "errors")
+    store_.logs.append(logs.where(~early), "others")
+    for number in (1, 2):
+        store_.compact(date(2024, 1, number))
+    return store_.export()
+
+
 _stores: dict[tuple[str, str], LogStore] = {}
 
 

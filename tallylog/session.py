@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime options that results depend on.
@@ -32,6 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tallylog"
 
 
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame written to the shared checkpoint folder, with its lineage cut."""
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
+    return frame.checkpoint()
+
+
 def fresh_name(prefix: str) -> str:
     """Name that no earlier run used."""
     return f"{prefix}_{uuid.uuid4().hex[:12]}"

@@ -6,7 +6,7 @@ so that a time range opens only its days and an expired day goes as a whole.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tallylog import model
 from tallylog.functions.ids import partition_name
 from tallylog.operators.ingest import insert_if_absent, with_day, with_defaults
-from tallylog.session import shared_folder
+from tallylog.session import checkpointed, shared_folder
 
 _EPOCH = datetime.fromisoformat("1970-01-01T00:00:00+00:00")
 _FIRST = datetime.min.replace(tzinfo=_EPOCH.tzinfo)
@@ -49,10 +49,14 @@ def _current(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def _write(rows: DataFrame, table: str) -> int:
-    """Append by position; returns how many rows the finished job wrote."""
+def _laid_out(rows: DataFrame) -> DataFrame:
+    return rows.hint("rebalance", F.col("day")).sortWithinPartitions("day", "service", "ts")
+
+
+def _write(rows: DataFrame, table: str, overwrite: bool = False) -> int:
+    """Write by position; returns how many rows the finished job wrote."""
     written = Observation()
-    rows.observe(written, F.count(F.lit(1)).alias("rows")).write.insertInto(table)
+    rows.observe(written, F.count(F.lit(1)).alias("rows")).write.insertInto(table, overwrite=overwrite)
     return written.get["rows"]
 
 
@@ -81,6 +85,25 @@ class LogTable:
     def scan(self) -> DataFrame:
         return _current(self.spark, self.name)
 
+    def compact(self, day: date) -> int:
+        """Rewrite a day into few sorted files; returns its rows.
+
+        A stream leaves a file per micro-batch. Only for a day that no writer touches any
+        more. The rows are stored in the checkpoint folder first, and the new files replace
+        the old ones when the write commits, so one that fails leaves the day as it was.
+        """
+        rows = self.scan().where(F.col("day") == F.lit(day))
+        held = checkpointed(rows.select(*model.LOG_SCHEMA.names))
+        if held.isEmpty():
+            return 0
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        before = self.spark.conf.get(mode)
+        self.spark.conf.set(mode, "dynamic")
+        try:
+            return _write(_laid_out(held), self.name, overwrite=True)
+        finally:
+            self.spark.conf.set(mode, before)
+
     def _prepared(self, rows: DataFrame, load: str) -> DataFrame:
         """Rows in table shape, checked, and laid out for reading.
 
@@ -101,9 +124,7 @@ class LogTable:
                 F.raise_error(F.lit("row breaks the log table's level or NOT NULL constraint")),
             ).otherwise(F.col("level")),
         )
-        return guarded.hint("rebalance", F.col("day")).sortWithinPartitions(
-            "day", "service", "ts"
-        )
+        return _laid_out(guarded)
 
     def append(self, rows: DataFrame, load: str) -> int:
         """Add rows; returns how many were written."""

@@ -50,6 +50,20 @@ def test_rows_are_in_their_day_and_files_are_sorted(spark, new_store):
     assert all(a[2:] <= b[2:] for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0])
 
 
+def test_compaction_keeps_the_rows(spark, new_store):
+    store, logs = new_store(), logs_from_events(spark, SMALL)
+    for number in range(4):
+        store.logs.append(logs.where(F.crc32("id") % 4 == number), f"load {number}")
+    before = sorted(map(tuple, store.logs.scan().drop("attr", "ingested_at").collect()))
+    day = F.col("day") == F.lit("2024-01-05")
+    files = store.logs.scan().where(day).select("_metadata.file_path").distinct
+    held = store.logs.scan().where(day).count()
+    assert files().count() == 4
+    assert store.compact(date(2024, 1, 5)) == held and store.compact(date(1999, 1, 1)) == 0
+    assert store.logs.scan().where(day).select("_metadata.file_path").distinct().count() == 1
+    assert sorted(map(tuple, store.logs.scan().drop("attr", "ingested_at").collect())) == before
+
+
 def test_the_same_load_is_stored_once(spark, new_store):
     store, bodies, now = new_store(), bodies_from_events(spark, SMALL), parse_iso_text(AS_OF)
     assert store.ingest(bodies, as_of=now, load="x") == (550, 450)
