@@ -1,7 +1,7 @@
 """Cleaning pipeline over ``documents``: stages that each call one operator.
 
 ``run`` writes each stage's result as Parquet under the session's shared folder and reads
-it again as the next stage's input.
+it again as the next stage's input; a stage's files are deleted when the next are written.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallylog.llm import bpe, exact_dedup, mixing, simhash, toxicity_knn
 from tallylog.llm.common import keep_rows, read, stored
-from tallylog.session import configure, fresh_name, shared_folder
+from tallylog.session import configure, fresh_name, remove_folder, shared_folder
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,4 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if number:
+            remove_folder(spark, f"{folder}/{number - 1}")
     return docs

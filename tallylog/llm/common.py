@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylog.session import shared_folder
+from tallylog.session import checkpointed as stored  # noqa: F401
 
 #: Fixed patterns: a word, and the white space between words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,25 +52,11 @@ def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return whole.join(rows.select(ROW), ROW, "left_semi").select("doc.*")
 
 
-def stored(frame: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder, with its lineage cut."""
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(frame.sparkSession))
-    return frame.checkpoint()
-
-
 def held_out(column: str = "doc_id") -> Column:
     """Rows that no label may be learned from: crc32 of the id as text, mod 5, is 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    """Delete a folder that this session made in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def labelled_sample(labels: DataFrame, label: str, most: dict[int, int], seed: int = 11) -> DataFrame:
     """``doc_id, label, n_class``: at most ``most[c]`` labelled ids of each class, none held out.
 
