@@ -7,8 +7,8 @@ text sink, one record per row with fresh headers and the WARC record end as sepa
 so a lost or repeated task leaves no half-written record. Reading parses each archive
 as a stream and joins revisits to the original responses by digest.
 
-Archives are gzip files of at most ``records_per_archive`` records, since an archive is
-read by one task. They are compressed as a whole, not per record.
+Archives are gzip files of at most ``records_per_archive`` records and about 64 MiB of
+payload, since an archive is read by one task. They are compressed as a whole, not per record.
 
 Defined cases: a null payload counts as empty; a null page id is written without id and
 comes last among equals; of rows that repeat page id and payload one is the response;
@@ -32,7 +32,8 @@ from tallylog.llm.batches import BATCH_BYTES, bounded_batches
 from tallylog.llm.common import ROW, stored, with_rows
 
 LEAST_BYTES = 1000
-RECORDS_PER_ARCHIVE = 2000
+#: An archive is read by one task: at most so many records, and about so many bytes of payload.
+RECORDS_PER_ARCHIVE, ARCHIVE_BYTES = 2000, 64 << 20
 
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -124,6 +125,8 @@ def write_archives(records: DataFrame, path: str, least_bytes: int = LEAST_BYTES
     written_at = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = with_rows(records)
     headers = stored(rows.select(ROW, "page_id", "digest", "n_bytes", F.col("payload").isNotNull().alias("has_payload")))
+    mean = headers.agg(F.avg("n_bytes")).first()[0] or 1.0
+    records_per_archive = max(1, min(records_per_archive, int(ARCHIVE_BYTES / max(mean, 1.0))))
     decided = rows.join(resolve(headers, least_bytes), ROW, "left").withColumn(
         "revisit", F.coalesce("revisit", F.col("payload").isNull())
     )
