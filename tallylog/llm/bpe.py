@@ -105,8 +105,12 @@ class Encoder:
         ids, spans, start = [], [], 0
         for piece in _pieces(text):
             matches = self.pattern.findall(piece)
-            self._learn(matches)
-            ids += [self.known[m] for m in matches]
+            try:
+                found = [self.known[m] for m in matches]
+            except KeyError:
+                self._learn(matches)
+                found = [self.known[m] for m in matches]
+            ids += found
             if self.offsets:
                 for match in matches:
                     spans.append(self.spans[match] + start)
@@ -161,9 +165,20 @@ class Decoder:
         self.tokens = [b""] * (max(vocabulary.values()) + 1)
         for token, number in vocabulary.items():
             self.tokens[number] = bytes(back[c] for c in token)
+        self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.lengths = np.array([len(token) for token in self.tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Bytes of the tokens in a row, some at a time."""
+        return b"".join(self._gathered(ids[at : at + PIECE]) for at in range(0, len(ids), PIECE))
+
+    def _gathered(self, ids: np.ndarray) -> bytes:
+        """From the table of all tokens' bytes: the place of each byte in it, then the bytes."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        shifts = np.repeat(self.starts[ids] - (ends - lengths), lengths)
+        return self.bytes[shifts + np.arange(len(shifts))].tobytes()
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -174,7 +189,7 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shipped.value)
         for batch in batches:
-            found = [decoder.decode(ids) for ids in batch.column("ids").to_pylist()]
+            found = [decoder.decode(ids.values.to_numpy()) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(found, pa.binary())], [*keep, "decoded"])
 
     kept = encoded.select(*keep, "ids")
