@@ -143,7 +143,7 @@ def main() -> None:
         rows = live.logs.scan().count()
         one.coalesce(4).write.mode("append").parquet(arriving)
         started = time.perf_counter()
-        while live.logs.scan().count() == rows:
+        while live.logs.scan().count() == rows and running.isActive and time.perf_counter() - started < 60:
             loaded.append(seconds(calls["agg_1h_service"], runs=1, warm_up=False))
         delays.append(round(time.perf_counter() - started, 3))
     running.stop()

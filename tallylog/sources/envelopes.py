@@ -102,6 +102,9 @@ _JSON_OPTIONS = {
     "maxNumLen": "2000000000",
     "maxStringLen": "2000000000",
 }
+#: A quote and then, after plain white space, a brace or an escape that may stand for either.
+#: No repeated group: such loops overflow the stack on long texts.
+_QUOTED_BRACE = r'"\s*+(?:\{|\\[ntr]|\\u00(?:09|0[aAdD]|20|7[bB]))'
 #: Longer keys and deeper values can't be read, whatever the options.
 LONGEST_KEY, DEEPEST = 50_000, 1_000
 
@@ -127,7 +130,7 @@ def parse_envelopes(bodies: DataFrame) -> DataFrame:
     parsed = bodies.withColumn("read", read)
     body, tail = F.try_element_at("read", F.lit(1)), F.try_element_at("read", F.lit(2))
     complete = (F.size("read") == 2) & (tail["mark"] == mark) & (F.size(body["logs"]) > 0)
-    quoted_brace = F.col("raw").rlike(r'"(\s|\\[ntr]|\\u00(09|0[aAdD]|20))*(\{|\\u007[bB])')
+    quoted_brace = F.col("raw").rlike(_QUOTED_BRACE)
     values = F.from_json("raw", "logs array<variant>")["logs"]
     strings = F.transform(values, lambda v: F.when(F.schema_of_variant(v) == "STRING", v))
     checked = parsed.select(

@@ -285,6 +285,13 @@ def test_a_string_that_looks_like_an_entry(spark):
     ]
 
 
+def test_long_white_space_in_strings(spark):
+    blank = json.dumps(" " * 200_000)
+    assert reasons(spark, [blank, entry(), '"\\u0020\\u007b}"', '"\\n{}"']) == [
+        model.NOT_AN_OBJECT, None, model.NOT_AN_OBJECT, model.NOT_AN_OBJECT
+    ]
+
+
 def test_an_odd_entry_leaves_the_others(spark):
     number, message = '{"a":' + "1" * 1200 + "}", entry(message="m" * 21_000_000)
     assert reasons(spark, [number, entry(), message, entry()]) == [model.ENTRY_LIMIT, None, model.ENTRY_LIMIT, None]
