@@ -1,20 +1,27 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and their first letters. Those that mark toxic examples (by likelihood
-ratio over the sample of labelled rows) make the vocabulary; document frequencies are
-counted over all documents. The examples' vectors form a block-max inverted index: each
-posting list is cut at blocks of examples, and the largest weight of each list in each
-block bounds what the block can score. Blocks are visited from the highest bound down
-until no block can reach the k-th best, so the k nearest are exact.
+Each document is searched twice, and gets the larger score. The search by words takes all
+words of the labelled examples, whatever their label, so a copy of an example always finds
+it. It sums the posting lists of the document's words. The search by markers takes words and
+their first letters that mark toxic examples (by likelihood ratio over the sample of labelled
+rows); among all words these few weigh too little to draw toxic texts together. Document
+frequencies of both are counted over all documents.
+
+The examples' marker vectors form a block-max inverted index: each posting list is cut at
+blocks of examples, and the largest weight of each list in each block bounds what the block
+can score. Blocks are visited from the highest bound down until no block can reach the k-th
+best. The k nearest are exact in both searches.
 
 Votes weigh by squared similarity, against a prior of one vote; examples count by how many
-labelled rows each stands for, so the score is the share of toxic rows among neighbours.
+labelled rows each stands for, so the score is the share of toxic rows among neighbours. The
+search by words takes the share at the depth, from one to k neighbours, where it is largest,
+so that many distant neighbours can't outvote the text that a document was copied from.
 
-Fixed bounds: the index holds at most ``TOXIC + CLEAN`` examples and ``VOCABULARY`` terms.
-Held-out rows (crc32 of the id, mod 5, is 0) give no labels.
+Fixed bounds: the indexes hold at most ``TOXIC + CLEAN`` examples, and the one of markers
+``VOCABULARY`` terms. Held-out rows (crc32 of the id, mod 5, is 0) give no labels.
 
-Defined cases: null and empty texts, and texts without a term of the vocabulary, get the
-share of toxic rows among examples without terms; without toxic labels every score is 0;
+Defined cases: null and empty texts, and others without a word of any example, get the
+share of toxic rows among examples without markers; without toxic labels every score is 0;
 equal texts get equal scores; ids may be null or repeat; equally near examples are taken
 in index order; an empty table gives an empty result.
 """
@@ -41,6 +48,9 @@ PREFIXES = (4, 5, 6)
 #: Distinct words a task remembers; the table starts anew when it is full.
 CACHED = 400_000
 
+#: Columns of term vectors: markers and words, each with its counts.
+VECTORS = ("ids", "counts", "word_ids", "word_counts")
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -67,9 +77,19 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def vocabulary(examples: DataFrame) -> list[str]:
-    """Terms that mark toxic examples, best first; ``examples`` has ``label`` and ``text``."""
-    seen = stored(examples.select("label", "text").mapInArrow(_example_terms, "label int, terms array<string>"))
+def example_terms(examples: DataFrame) -> DataFrame:
+    """``label`` and ``terms`` (stored) of each example; ``examples`` has ``label`` and ``text``."""
+    return stored(examples.select("label", "text").mapInArrow(_example_terms, "label int, terms array<string>"))
+
+
+def all_words(seen: DataFrame) -> list[str]:
+    """The words of the examples, in order; ``seen`` are their terms."""
+    terms = seen.select(F.explode("terms").alias("term")).where(F.col("term").startswith("="))
+    return sorted(terms.select(F.substring("term", 2, 2**31 - 1).alias("word")).distinct().toArrow()["word"].to_pylist())
+
+
+def vocabulary(seen: DataFrame) -> list[str]:
+    """Terms that mark toxic examples, best first; ``seen`` are the examples' terms."""
     sizes = {row["label"]: row["n"] for row in seen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
@@ -102,38 +122,40 @@ def vocabulary(examples: DataFrame) -> list[str]:
     return [row["term"] for row in best.select("term").collect()]
 
 
-def _vectors(terms: list[str]):
-    place = {t: i for i, t in enumerate(terms)}
-
+def _vectors(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        markers, words = shipped.value
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            ids, counts = [], []
+            rows = []
             for text in batch.column("text").to_pylist():
                 found: Counter = Counter()
+                own_words = []
                 for word, n in word_counts(text).items():
                     at = known.get(word)
                     if at is None:
                         if len(known) >= CACHED:
                             known.clear()
-                        at = known[word] = tuple(place[t] for t in word_terms(word) if t in place)
+                        at = known[word] = tuple(markers[t] for t in word_terms(word) if t in markers)
                     for i in at:
                         found[i] += n
-                own = sorted(found)
-                ids.append(own)
-                counts.append([found[i] for i in own])
-            lists = [pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(ROW), batch.column("doc_id"), *lists], [ROW, "doc_id", "ids", "counts"]
-            )
+                    i = words.get(word)
+                    if i is not None:
+                        own_words.append((i, n))
+                own, own_words = sorted(found), sorted(own_words)
+                rows.append((own, [found[i] for i in own], [i for i, _ in own_words], [n for _, n in own_words]))
+            lists = [pa.array([row[k] for row in rows], pa.list_(pa.int32())) for k in range(len(VECTORS))]
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), *lists], [ROW, "doc_id", *VECTORS])
 
     return run
 
 
-def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Row number, doc_id, and the vocabulary terms of each document with their counts."""
+def term_vectors(docs: DataFrame, markers: list[str], words: list[str]) -> DataFrame:
+    """Row number, doc_id, and the markers and words of each document with their counts."""
     rows = with_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")))
-    return rows.mapInArrow(_vectors(terms), f"{ROW} long, doc_id long, ids array<int>, counts array<int>")
+    places = tuple({t: i for i, t in enumerate(terms)} for terms in (markers, words))
+    shipped = docs.sparkSession.sparkContext.broadcast(places)
+    return rows.mapInArrow(_vectors(shipped), f"{ROW} long, doc_id long, " + ", ".join(f"{n} array<int>" for n in VECTORS))
 
 
 class BlockMaxIndex:
@@ -177,23 +199,53 @@ class BlockMaxIndex:
         return best, products
 
 
+class PostingIndex:
+    """Inverted index over unit vectors with many terms; a search sums all its terms' lists."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        self.n = len(vectors)
+        terms = np.concatenate([ids for ids, _ in vectors] or [np.empty(0, np.int64)])
+        owners = np.repeat(np.arange(self.n, dtype=np.int32), [len(ids) for ids, _ in vectors])
+        order = np.argsort(terms, kind="stable")
+        self.owners = owners[order]
+        self.weights = np.concatenate([w for _, w in vectors] or [np.empty(0)])[order]
+        self.starts = np.searchsorted(terms[order], np.arange(n_terms + 1))
+
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples with the largest positive products, largest first, and the products."""
+        if not len(ids) or not self.n:
+            return np.empty(0, np.int64), np.empty(0)
+        starts, lengths = self.starts[ids], self.starts[ids + 1] - self.starts[ids]
+        places = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+        places += np.arange(len(places))
+        sums = np.bincount(self.owners[places], self.weights[places] * np.repeat(weights, lengths), self.n)
+        sums = np.round(sums, 9)
+        best = np.flatnonzero(sums >= np.partition(sums, -k)[-k]) if self.n > k else np.arange(self.n)
+        best = best[sums[best] > 0]
+        best = best[np.argsort(-sums[best], kind="stable")][:k]
+        return best, sums[best]
+
+
 class Voter:
-    """What the tasks need: the index, the labels and ids of its examples, idf and priors."""
+    """What the tasks need: an index, the labels and ids of its examples, idf and priors.
+
+    ``examples`` are doc_id, label, and the term ids and counts.
+    """
 
-    def __init__(self, examples: list, n_class: dict[int, int], idf: np.ndarray):
+    def __init__(self, examples: list[tuple], n_class: dict[int, int], idf: np.ndarray, index=BlockMaxIndex):
         self.idf = idf
-        examples = sorted(examples, key=lambda e: (e["label"], e["ids"][:1], e["doc_id"]))
-        with_terms = [e for e in examples if e["ids"]]
-        self.index = BlockMaxIndex([self.unit(e["ids"], e["counts"]) for e in with_terms], len(idf))
-        self.labels = np.array([e["label"] for e in with_terms], np.int64)
-        self.ids = np.array([e["doc_id"] for e in with_terms], np.int64)
-        used = Counter(e["label"] for e in examples)
+        examples = sorted(examples, key=lambda e: (e[1], list(e[2][:1]), e[0]))
+        with_terms = [e for e in examples if len(e[2])]
+        self.index = index([self.unit(ids, counts) for _, _, ids, counts in with_terms], len(idf))
+        self.labels = np.array([e[1] for e in with_terms], np.int64)
+        self.ids = np.array([e[0] for e in with_terms], np.int64)
+        used = Counter(e[1] for e in examples)
         stands_for = {c: n_class[c] / used[c] for c in used}
         heaviest = stands_for.get(1, 1.0)
         self.votes = np.array([stands_for[c] / heaviest for c in self.labels])
         whole = sum(n_class[c] for c in used)
         self.prior = n_class.get(1, 0) / whole if whole else 0.0
-        bare = Counter(e["label"] for e in examples if not e["ids"])
+        bare = Counter(e[1] for e in examples if not len(e[2]))
         toxic, rest = bare[1] * stands_for.get(1, 0.0), bare[0] * stands_for.get(0, 0.0)
         self.without_terms = toxic / (toxic + rest) if toxic + rest else self.prior
 
@@ -206,29 +258,64 @@ class Voter:
         """Score, and the ids and similarities of the nearest examples."""
         if not len(ids):
             return self.without_terms, [], []
+        best, shares, products = self.shares(ids, counts)
+        return float(shares[-1]), self.ids[best].tolist(), products.tolist()
+
+    def shares(self, ids, counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nearest examples, the share of toxic votes among none and the first 1, 2, ... of them, similarities."""
         best, products = self.index.nearest(*self.unit(ids, counts))
         votes = products**2 * self.votes[best]
-        score = (votes @ self.labels[best] + PRIOR_VOTES * self.prior) / (votes.sum() + PRIOR_VOTES)
-        return float(score), self.ids[best].tolist(), products.tolist()
+        toxic, every = (np.cumsum(np.concatenate(([0.0], v))) for v in (votes * self.labels[best], votes))
+        return best, (toxic + PRIOR_VOTES * self.prior) / (every + PRIOR_VOTES), products
+
+
+class TwoVoters:
+    """The larger score of the search by markers and the search by words."""
+
+    def __init__(self, markers: Voter, words: Voter):
+        self.markers, self.words = markers, words
 
+    def score(self, ids, counts, word_ids, word_counts) -> tuple[float, list[int], list[float]]:
+        """Score, and the ids and similarities of the nearest examples of the search that gave it."""
+        by_markers = self.markers.score(ids, counts)
+        if not len(word_ids):
+            return by_markers
+        best, shares, products = self.words.shares(word_ids, word_counts)
+        if not len(best):
+            return by_markers
+        largest = float(shares[1:].max())
+        if largest < by_markers[0] or (largest == by_markers[0] and by_markers[1]):
+            return by_markers
+        return largest, self.words.ids[best].tolist(), products.tolist()
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[DataFrame, Voter]:
-    """The term vectors of all documents (stored), and the voter."""
+
+def _idf(vectors: DataFrame, ids: str, n_terms: int, rows: int) -> np.ndarray:
+    counted = vectors.select(F.explode(ids).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    frequency = np.zeros(n_terms)
+    frequency[counted["i"].to_numpy()] = counted["n"].to_numpy()
+    return np.log((1 + rows) / (1 + frequency)) + 1
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[DataFrame, TwoVoters]:
+    """The term vectors of all documents (stored), and the voters."""
     sample = stored(labelled_sample(labels, label, {1: TOXIC, 0: CLEAN}))
     n_class = {row["label"]: row["n_class"] for row in sample.select("label", "n_class").distinct().collect()}
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     examples = texts.join(F.broadcast(sample.select("doc_id", "label")), "doc_id")
-    terms = vocabulary(examples)
-    vectors = stored(term_vectors(docs, terms))
+    seen = example_terms(examples)
+    markers, words = vocabulary(seen), all_words(seen)
+    vectors = stored(term_vectors(docs, markers, words))
     rows = vectors.count()
-    counted = vectors.select(F.explode("ids").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()
-    frequency = np.zeros(len(terms))
-    for row in counted:
-        frequency[row["i"]] = row["n"]
-    idf = np.log((1 + rows) / (1 + frequency)) + 1
     indexed = vectors.join(F.broadcast(sample.select("doc_id", "label")), "doc_id").dropDuplicates(["doc_id"])
-    return vectors, Voter(indexed.select("doc_id", "label", "ids", "counts").collect(), n_class, idf)
+    found = indexed.select("doc_id", "label", *VECTORS).toArrow()
+    doc_ids, classes = (found[n].to_pylist() for n in ("doc_id", "label"))
+
+    def voter(terms: list[str], ids: str, counts: str, index) -> Voter:
+        lists = ([x.values.to_numpy() for x in found[n]] for n in (ids, counts))
+        return Voter(list(zip(doc_ids, classes, *lists, strict=True)), n_class, _idf(vectors, ids, len(terms), rows), index)
+
+    return vectors, TwoVoters(voter(markers, "ids", "counts", BlockMaxIndex), voter(words, "word_ids", "word_counts", PostingIndex))
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
@@ -236,16 +323,14 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame
 
     ``evidence_ids`` and ``evidence_similarities`` are the nearest examples, nearest first.
     """
-    vectors, voter = fit(docs, labels, label)
-    shipped = docs.sparkSession.sparkContext.broadcast(voter)
+    vectors, voters = fit(docs, labels, label)
+    shipped = docs.sparkSession.sparkContext.broadcast(voters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         for batch in batches:
-            found = [
-                own.score(ids, counts)
-                for ids, counts in zip(batch.column("ids").to_pylist(), batch.column("counts").to_pylist(), strict=True)
-            ]
+            lists = ([x.values.to_numpy() for x in batch.column(n)] for n in VECTORS)
+            found = [own.score(*row) for row in zip(*lists, strict=True)]
             columns = [
                 pa.array([x[0] for x in found], pa.float64()),
                 pa.array([x[1] for x in found], pa.list_(pa.int64())),

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -170,6 +171,37 @@ def test_nearest_examples_are_exact():
         assert exact[best] == pytest.approx(products)
 
 
+def test_word_neighbours_are_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = [(np.unique(rng.integers(0, 60, 8)), None) for _ in range(200)]
+    vectors = [(ids, np.full(len(ids), len(ids) ** -0.5)) for ids, _ in vectors]
+    dense = np.zeros((200, 60))
+    for row, (ids, weights) in zip(dense, vectors, strict=True):
+        row[ids] = weights
+    index = toxicity_knn.PostingIndex(vectors, 60)
+    for ids, weights in vectors[:50]:
+        best, products = index.nearest(ids, weights, 10)
+        exact = np.round(dense[:, ids] @ weights, 9)
+        assert best.tolist() == np.argsort(-exact, kind="stable")[:10].tolist()
+        assert products == pytest.approx(exact[best])
+
+
+def test_copy_of_toxic_example_without_markers_is_found(spark):
+    held = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 5 == 0][:2]
+    rest = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, " ".join(f"{w}{'abcdefghij'[i // 10 % 10]}{'klmnopqrst'[i % 10]}" for w in ("stone", "river"))) for i in rest]
+    toxic = rest[0]
+    rows[0] = (toxic, "quiet words that no other row has")
+    rows += [(held[0], rows[0][1]), (held[1], rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == toxic)) for i, _ in rows], "doc_id long, toxic int")
+    found = {r.doc_id: r for r in toxicity_knn.score(docs, labels).collect()}
+    assert found[held[0]].predicted == 1 and found[held[0]].evidence_ids[0] == toxic
+    assert found[held[1]].predicted == 0
+
+
 def test_classifiers_without_labels(odd, empty, labels):
     for frame, n in ((odd, 12), (empty, 0)):
         assert {r.score for r in toxicity_knn.score(frame, labels).collect()} <= {0.0}
