@@ -54,7 +54,8 @@ CONTENT_WORDS = frozenset("article content main post entry story body articlebod
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
 _NAME = re.compile(r"[a-z]+")
 
 #: Weights of the smoothness edges: blocks in a row, and blocks of one parent.
@@ -72,6 +73,17 @@ def _name_cost(name: str) -> float:
     return 9.0 if words & BOILERPLATE_WORDS else -3.0 if words & CONTENT_WORDS else 0.0
 
 
+def _hidden(attributes: str) -> bool:
+    """By attributes of these names; the words in other attributes, such as a class, say nothing."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
+        if name == "hidden" and value != "false" or name == "aria-hidden" and value == "true":
+            return True
+        if name == "style" and _NOT_SHOWN.search(value):
+            return True
+    return False
+
+
 class Element:
     __slots__ = ("tag", "parent", "cost", "inside")
 
@@ -82,7 +94,7 @@ class Element:
         if attributes and tag not in ("html", "body"):
             marks = [m[2] or m[3] or m[4] or "" for m in _MARK.finditer(attributes)]
             self.cost += max((_name_cost(name) for mark in marks for name in mark.lower().split()), key=abs, default=0.0)
-            if _HIDDEN.search(attributes):
+            if _hidden(attributes):
                 self.cost += 12.0
         if tag == "header" and self.inside:
             self.cost -= TAG_COST["header"]

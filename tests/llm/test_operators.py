@@ -91,6 +91,18 @@ def test_pages_without_parts():
     assert html_cut.main_text("<p>a<b>b</b>c<br>d<!-- x --></i>") == "abc d"
 
 
+ARTICLE = "<article><p>Some words of the article that should stay whatever the wrapper is called.</p></article>"
+ARTICLE_TEXT = "Some words of the article that should stay whatever the wrapper is called."
+
+
+def test_only_hidden_elements_are_hidden():
+    shown = ['class="overflow-hidden"', 'style="overflow: hidden"', 'data-title="The hidden city"', "data-x='display:none'", 'hidden="false"']
+    for attributes in shown:
+        assert html_cut.main_text(f"<div {attributes}>{ARTICLE}</div>") == ARTICLE_TEXT
+    for attributes in ("hidden", 'HIDDEN=""', "aria-hidden=true", 'style="color: red; Display : none"'):
+        assert html_cut.main_text(f"<div {attributes}>{ARTICLE}</div>") == ""
+
+
 def test_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(60):
