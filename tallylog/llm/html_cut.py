@@ -6,7 +6,8 @@ parent are tied by smoothness edges, and the minimum cut of that graph labels th
 A page is small, so its graph is solved in the task that reads the page.
 
 Defined cases: null, empty and text-only pages are parsed like any other (no blocks, no
-text); unclosed and stray tags never fail; very long pages are read in one pass; repeated
+text); unclosed and stray tags never fail; frames, drawings and the like are skipped from tag
+to closing tag, and where they are self-closed or unclosed only the tag is; very long pages are read in one pass; repeated
 rows are extracted alike; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -24,7 +25,8 @@ from tallylog.llm.batches import map_rows
 
 #: Elements by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas".split())
+RAW = frozenset("script style textarea title".split())
+SKIPPED = frozenset("noscript template iframe svg math object canvas".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small "
     "span strike strong sub sup time tt u var wbr img picture source".split()
@@ -109,6 +111,18 @@ class Block:
         self.text, self.element, self.words, self.linked = text, element, words, linked
 
 
+def _closing(page: str, tag: str) -> dict[int, int]:
+    """Where each element of the tag that is closed starts and ends; self-closed ones are left out."""
+    ends, opened = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", page, re.I):
+        if not m[1]:
+            if not m[2].endswith("/"):
+                opened.append(m.start())
+        elif opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order, white space turned into single spaces."""
     root = Element("html", "", None)
@@ -126,6 +140,7 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     at, raw_until = 0, 0
+    closed: dict[str, dict[int, int]] = {}
     for token in _TOKEN.finditer(page):
         if token.start() < raw_until:
             continue
@@ -152,6 +167,13 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = raw_until = end.end() if end else len(page)
             continue
+        if tag in SKIPPED:
+            if token[3].endswith("/"):
+                continue
+            if tag not in closed:
+                closed[tag] = _closing(page, tag)
+            at = raw_until = closed[tag].get(token.start(), at)
+            continue
         if tag not in INLINE:
             flush()
             closes = {"p"} if tag in CLOSES_PARAGRAPH else CLOSES_ITSELF.get(tag, ())

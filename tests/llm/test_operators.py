@@ -103,6 +103,14 @@ def test_only_hidden_elements_are_hidden():
         assert html_cut.main_text(f"<div {attributes}>{ARTICLE}</div>") == ""
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "iframe", "canvas", "noscript", "template"])
+def test_self_closed_and_unclosed_elements_hide_nothing_after_them(tag):
+    closed = f"<{tag}>inner<{tag}>words</{tag}></{tag}>"
+    for before in (f'<{tag} class="x"/>', f"<{tag} />", f"<{tag}>", closed, f"<{tag}>" * 3):
+        assert html_cut.main_text(f"<body><div>{before}{ARTICLE}</div>") == ARTICLE_TEXT
+        assert html_cut.main_text(f"<body><div>{before}{ARTICLE}{closed}</div>") == ARTICLE_TEXT
+
+
 def test_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(60):
