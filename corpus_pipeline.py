@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallylog.llm import bpe, exact_dedup, mixing, simhash, toxicity_knn
 from tallylog.llm.common import keep_rows, read, stored
@@ -41,9 +42,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, without its text."""
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "n_chars"))
+    """Token ids of each document, without its text, and the digest of what they decode to."""
+    ranks, own = public_tokenizers.path("byte_bpe_50k.tiktoken"), ("doc_id", "lang", "source", "n_chars")
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=own)
+    decoded = bpe.decode(encoded, ranks, keep=(*own, "n_tokens", "ids", "ids_sha256"))
+    return decoded.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [

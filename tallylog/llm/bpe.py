@@ -192,6 +192,6 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -
             found = [decoder.decode(ids.values.to_numpy()) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(found, pa.binary())], [*keep, "decoded"])
 
-    kept = encoded.select(*keep, "ids")
+    kept = encoded.select(*dict.fromkeys((*keep, "ids")))
     schema = [f"`{n}` {kept.schema[n].dataType.simpleString()}" for n in keep]
     return kept.mapInArrow(run, ", ".join([*schema, "decoded binary"]))

@@ -1,5 +1,7 @@
 """The registered queries against their SQL, and the pipeline against brute force."""
 
+import hashlib
+
 import pytest
 from conftest import SMALL
 from oracle_check import connect, differences
@@ -54,6 +56,15 @@ def test_pipeline_stages(spark):
     assert all(r.ids == reference.encode_ordinary(texts[r.doc_id]) for r in last)
 
 
+def test_last_stage_decodes(spark):
+    rows = [(1, "some words, and é"), (2, None), (2, "x"), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = dict(corpus_pipeline.STAGES)["byte-level BPE encoding and decoding"](spark, docs, SMALL).collect()
+    digests = sorted((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    assert sorted((r.doc_id, r.decoded_sha256) for r in found) == digests
+    assert all(r.n_tokens == len(r.ids) for r in found)
+
+
 def test_pipeline_runs(spark):
     found = corpus_pipeline.run(spark, SMALL)
     assert found.count() > 0 and "ids" in found.columns
