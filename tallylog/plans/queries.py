@@ -574,7 +574,7 @@ def stream_ingest_lines(spark, sf_dir):
 
 @query("ingest_repeated")
 def ingest_repeated(spark, sf_dir):
-    """The same load twice, and once more under another name."""
+    """The same load twice: the second call stores nothing."""
     store_ = LogStore(spark, _new_database(spark, "ingest_repeated"))
     bodies = event_logs.bodies_from_events(spark, sf_dir)
     calls = [store_.ingest(bodies, as_of=_as_of(), load=load) for load in ("one", "one")]
