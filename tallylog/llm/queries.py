@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylog.llm import bpe, ctph, exact_dedup, html_cut, mixing, quality_nbsvm, simhash, toxicity_knn, warc, window_dedup
+from tallylog.llm import bpe, ctph, exact_dedup, html_cut, merkle, mixing, quality_nbsvm, simhash, toxicity_knn, warc, window_dedup
 from tallylog.llm.common import read, stored
 from tallylog.session import configure, fresh_name, remove_folder, shared_folder
 
@@ -77,6 +77,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         index.drop()
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality": op2_quality,
@@ -88,12 +92,14 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_merkle": op11_merkle,
 }
 
 SQL: dict[str, str] = {
     "op5_mixing": mixing.SQL,
     "op8_warc": warc.SQL,
     "op10_exact_dedup": exact_dedup.SQL.format(docs="documents"),
+    "op11_merkle": merkle.SQL,
 }
 
 
