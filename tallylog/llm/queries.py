@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylog.llm import bpe, ctph, exact_dedup, html_cut, merkle, mixing, quality_nbsvm, simhash, toxicity_knn, warc, window_dedup
+from tallylog.llm import (
+    bpe,
+    ctph,
+    exact_dedup,
+    html_cut,
+    merkle,
+    mixing,
+    periodic_runs,
+    quality_nbsvm,
+    simhash,
+    toxicity_knn,
+    warc,
+    window_dedup,
+)
 from tallylog.llm.common import read, stored
 from tallylog.session import configure, fresh_name, remove_folder, shared_folder
 
@@ -81,6 +94,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(read(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.detect(read(spark, sf_dir, "documents"), plant=True)
+    return found.withColumn("collapsed_sha256", F.sha2("collapsed", 256)).drop("collapsed", "runs")
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality": op2_quality,
@@ -93,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_merkle": op11_merkle,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 SQL: dict[str, str] = {
