@@ -14,6 +14,7 @@ from tallylog.llm import (
     html_cut,
     merkle,
     mixing,
+    packing,
     periodic_runs,
     quality_nbsvm,
     simhash,
@@ -99,6 +100,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("collapsed_sha256", F.sha2("collapsed", 256)).drop("collapsed", "runs")
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality": op2_quality,
@@ -112,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_merkle": op11_merkle,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_packing": op13_packing,
 }
 
 SQL: dict[str, str] = {

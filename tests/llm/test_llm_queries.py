@@ -20,7 +20,7 @@ def test_query_equals_sql(spark, name):
 def test_queries_are_registered():
     names = set(contract.queries())
     assert set(llm_queries()) | {"pipeline"} <= names
-    assert {f"op{n}" for n in range(1, 13)} == {n.split("_")[0] for n in llm_queries()}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in llm_queries()}
 
 
 def test_pipeline_stages(spark):
