@@ -61,3 +61,20 @@ def message_matches(message: Column, q: str) -> Column:
     if text is not None:
         return F.lower(message).contains(F.lower(F.lit(text)))
     return message.ilike(pattern)
+
+
+def literal_parts(q: str) -> list[str]:
+    """The texts between live wildcards that a message matching ``%q%`` must hold, case aside."""
+    parts, text, escaped = [], [], False
+    for char in "%" + q + "%":
+        if escaped:
+            text.append(char)
+            escaped = False
+        elif char == _ESCAPE:
+            escaped = True
+        elif char in _WILDCARDS:
+            parts.append("".join(text))
+            text = []
+        else:
+            text.append(char)
+    return [part for part in [*parts, "".join(text)] if part]

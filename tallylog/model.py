@@ -67,6 +67,8 @@ LOG_SCHEMA = T.StructType(
         # Names the write that stored the row, e.g. "<stream>/<micro-batch>". One
         # file holds one load, so its min/max statistics find a load's files.
         T.StructField("load", T.StringType()),
+        # How many attributes had a column of their own when the row was written.
+        T.StructField("promoted", T.IntegerType()),
         T.StructField("day", T.DateType()),
     ]
 )
@@ -85,4 +87,18 @@ REJECT_SCHEMA = T.StructType(
     ]
 )
 
+#: What became of one delivery, partitioned by day of ingest.
+OUTCOME_SCHEMA = T.StructType(
+    [
+        T.StructField("batch_id", T.StringType()),
+        T.StructField("accepted", T.LongType()),
+        T.StructField("rejected", T.LongType()),
+        T.StructField("outcome", T.StringType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("ingested_at", T.TimestampType()),
+        T.StructField("load", T.StringType()),
+        T.StructField("day", T.DateType()),
+    ]
+)
+
 PAGE_COLUMNS = ("id", "timestamp", "level", "service", "message", "attributes")

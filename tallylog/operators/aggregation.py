@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylog import model
@@ -61,10 +61,15 @@ def bucket_counts(
         bucket_start_seconds(F.col("ts"), model.BUCKET_SECONDS[bucket]).alias("bucket"),
         group.alias("group"),
     )
+    return summed_buckets(keyed, F.count(F.lit(1)), group_by, count_type)
+
+
+def summed_buckets(rows: DataFrame, count: Column, group_by: str | None, count_type: str = "int") -> DataFrame:
+    """``start, group, count`` from ``bucket, group`` rows and the aggregate that counts them."""
     keys = ["bucket", "group"] if group_by else ["bucket"]
-    counted = keyed.groupBy(*keys).agg(F.count(F.lit(1)).cast(count_type).alias("count"))
+    counted = rows.groupBy(*keys).agg(count.cast(count_type).alias("count"))
     return counted.orderBy(*keys).select(
         iso_millis(F.timestamp_seconds("bucket")).alias("start"),
-        (F.col("group") if group_by else group).alias("group"),
+        F.col("group") if group_by else F.lit(None).cast("string").alias("group"),
         "count",
     )

@@ -6,7 +6,7 @@ import operator
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -158,6 +158,22 @@ class LogFilter:
         """The same filter with this upper time bound (exclusive)."""
         return replace(self, end=bound)
 
+    def days(self) -> list[Column]:
+        """Bounds on the partition column that the time range implies."""
+        day, found = F.col("day"), []
+        if self.start is not None:
+            found.append(day >= date_literal(self.start))
+        if self.end is not None:
+            found.append(day <= date_literal(_just_before(self.end)))
+        if self.cursor is not None:
+            found.append(day <= date_literal(self.cursor.ts))
+        return found
+
+    def may_hold(self, day: date) -> bool:
+        """Whether rows of this day can be in the time range."""
+        lasts = [moment.date() for moment in (self.end and _just_before(self.end), self.cursor and self.cursor.ts) if moment]
+        return (self.start is None or day >= self.start.date()) and all(day <= last for last in lasts)
+
     def predicates(self, by_day: bool) -> list[Column]:
         """One predicate per condition.
 
@@ -165,19 +181,13 @@ class LogFilter:
         ``ts`` alone opens the files of every day. The cursor condition is
         written out, since a comparison of structs does not reach the scan.
         """
-        ts, day = F.col("ts"), F.col("day")
-        found = []
+        ts = F.col("ts")
+        found = self.days() if by_day else []
         if self.start is not None:
-            if by_day:
-                found.append(day >= date_literal(self.start))
             found.append(ts >= literal(self.start))
         if self.end is not None:
-            if by_day:
-                found.append(day <= date_literal(_just_before(self.end)))
             found.append(ts < literal(self.end))
         if self.cursor is not None:
-            if by_day:
-                found.append(day <= date_literal(self.cursor.ts))
             at = literal(self.cursor.ts)
             found.append(ts <= at)
             found.append((ts < at) | (F.col("id") < self.cursor.id))

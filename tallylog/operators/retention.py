@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import logging
 from datetime import date
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallylog.functions.ids import partition_name
 from tallylog.model import RETENTION_DAYS
-from tallylog.sources.log_table import LogTable
+from tallylog.sources.log_table import LogTable, RejectTable
 
 # Days named in one statement; producers decide how many days there are.
 DROPPED_AT_ONCE = 100
@@ -41,18 +42,19 @@ def expired(partitions: DataFrame, as_of: date, days: int = RETENTION_DAYS) -> D
     return partitions.where(F.col("range_end") <= cutoff)
 
 
-def drop_expired(table: LogTable, as_of: date, days: int = RETENTION_DAYS) -> list[str]:
+def drop_expired(table: LogTable | RejectTable, as_of: date, days: int = RETENTION_DAYS) -> list[str]:
     """Drop expired days and return their names, oldest first.
 
     Works on the catalog's list of days; the files go with the partition and no
     row is read.
     """
-    gone = expired(table.partitions(), as_of, days).orderBy("range_start").collect()
-    for at in range(0, len(gone), DROPPED_AT_ONCE):
-        part = gone[at : at + DROPPED_AT_ONCE]
-        specs = ", ".join(f"PARTITION (day = DATE'{row.range_start}')" for row in part)
-        table.spark.sql(f"ALTER TABLE {table.name} DROP IF EXISTS {specs}")
-    return [row.partition_name for row in gone]
+    dropped = []
+    with table.lease():
+        gone = expired(table.partitions(), as_of, days).orderBy("range_start").toLocalIterator()
+        while part := list(islice(gone, DROPPED_AT_ONCE)):
+            table.drop_days([row.range_start for row in part])
+            dropped += [row.partition_name for row in part]
+    return dropped
 
 
 def run_retention(table: LogTable, as_of: date, days: int = RETENTION_DAYS) -> list[str]:

@@ -150,19 +150,23 @@ def rejected_entries(validated: DataFrame) -> DataFrame:
 def batch_outcome(validated: DataFrame) -> DataFrame:
     """Accepted and rejected counts per batch, ``refused`` when nothing was accepted.
 
-    The entries of a batch come out of one row and are still together, so the
-    partial aggregate shrinks each batch to one row before the shuffle.
+    ``error`` is the reason of a batch refused as a whole. The entries of a batch come
+    out of one row and are still together, so the partial aggregate shrinks each batch to one
+    row before the shuffle.
     """
     ok = F.col("reason").isNull()
+    whole = F.col("index").isNull()
     counts = validated.groupBy("batch_id").agg(
         F.count_if(ok).alias("accepted"),
-        F.count_if(~ok & F.col("index").isNotNull()).alias("rejected"),
-        F.count_if(F.col("index").isNull()).alias("refused"),
+        F.count_if(~ok & ~whole).alias("rejected"),
+        F.max(F.when(whole, F.col("reason"))).alias("error"),
+        F.max("ingested_at").alias("ingested_at"),
     )
     return counts.select(
         "batch_id",
         "accepted",
         "rejected",
         F.when(F.col("accepted") > 0, "accepted").otherwise("refused").alias("outcome"),
-        F.when(F.col("refused") > 0, model.REFUSED_BODY).alias("error"),
+        "error",
+        "ingested_at",
     )

@@ -381,7 +381,24 @@ def all_oracles() -> dict[str, str]:
         found[f"store_{name}"] = found[name]
     purchases = f"service = 'svc-3' AND message ILIKE '%purchase%' AND {_attr('k')} = '69'"
     within = "ts >= TIMESTAMP '2024-01-10 06:30:00.5' AND ts < TIMESTAMP '2024-01-19 22:00:00'"
-    return found | {
+    left = "ts >= TIMESTAMP '2024-01-03'"
+    unaligned = "ts >= TIMESTAMP '2024-01-03 10:20:30.5' AND ts < TIMESTAMP '2024-01-29 12:34:56'"
+    exported = {
+        "store_filter_message_indexed": "message ILIKE '%purchase\\_4%' ESCAPE '\\'",
+        "store_filter_message_indexed_wildcard": "message ILIKE '%err%_4_ 100\\%%' ESCAPE '\\'",
+        "store_filter_message_indexed_short": "contains(message, '9 ')",
+        "store_filter_attr_promoted": f"{_attr('vip')} = 'true'",
+        "store_filter_attr_unpromoted": f"{_attr('k')} = '69'",
+        "store_filter_attr_mixed": f"{_attr('vip')} = 'false' AND {_attr('k')} = '69' AND level = 'error'",
+    }
+    return found | {name: f"{found['export_ordered']} WHERE {left} AND {condition}" for name, condition in exported.items()} | {
+        "store_agg_1m_rollup": _counts("1m", None, left),
+        "store_agg_1m_level_rollup": _counts("1m", "level", f"service = 'svc-2' AND {unaligned}"),
+        "store_agg_1h_service_rollup": _counts("1h", "service", unaligned),
+        "store_agg_1d_errors_rollup": _counts("1d", None, f"level = 'error' AND {unaligned}"),
+        "store_page_rollup": _page(f"service = 'svc-3' AND level = 'error' AND {left}", 50, 0),
+        "store_page_rollup_next": _page(f"level = 'warn' AND {left}", 50, 50),
+        "stream_ingest_outcomes": found["batch_outcome"],
         "store_page_sparse": _page(purchases, 1000, 0),
         "store_page_none": _page("false", 5, 0),
         "store_compacted": found["export_ordered"],

@@ -405,7 +405,7 @@ def rejects(spark, sf_dir):
 
 @query("batch_outcome")
 def batch_outcome(spark, sf_dir):
-    return validation.batch_outcome(_validated_deliveries(spark, sf_dir))
+    return validation.batch_outcome(_validated_deliveries(spark, sf_dir)).drop("ingested_at")
 
 
 @query("with_defaults")
@@ -525,38 +525,43 @@ def retention_run(spark, sf_dir):
 # --- Streaming ---
 
 
-def _ingested_by_stream(spark: SparkSession, arriving: DataFrame, owner: str) -> tuple[LogTable, RejectTable]:
-    logs, rejected = _new_tables(spark, owner)
-    start_ingest(
-        arriving, logs, rejected, fresh_name("ingest"), as_of=_as_of(), available_now=True
-    ).awaitTermination()
-    return logs, rejected
+def _ingested_by_stream(spark: SparkSession, arriving: DataFrame, owner: str) -> LogStore:
+    store_ = LogStore(spark, _new_database(spark, owner))
+    store_.stream(arriving, fresh_name("ingest"), as_of=_as_of(), available_now=True).awaitTermination()
+    return store_
 
 
-def _streamed(spark: SparkSession, sf_dir: str, owner: str) -> tuple[LogTable, RejectTable]:
+def _streamed(spark: SparkSession, bodies: DataFrame, owner: str) -> LogStore:
     """Bodies laid down as files, then ingested by a stream that takes all there is."""
     landing = f"{shared_folder(spark)}/{fresh_name('landing')}"
-    event_logs.bodies_from_events(spark, sf_dir).write.parquet(landing)
+    bodies.write.parquet(landing)
     arriving = (
         spark.readStream.schema("batch_id bigint, raw string")
         .option("maxBytesPerTrigger", MICRO_BATCH_BYTES)
         .parquet(landing)
     )
-    tables = _ingested_by_stream(spark, arriving, owner)
+    store_ = _ingested_by_stream(spark, arriving, owner)
     remove_folder(spark, landing)
-    return tables
+    return store_
 
 
 @query("stream_ingest_accepted")
 def stream_ingest_accepted(spark, sf_dir):
-    logs, _ = _streamed(spark, sf_dir, "stream_ingest_accepted")
-    return paging.page_rows(logs.scan())
+    store_ = _streamed(spark, event_logs.bodies_from_events(spark, sf_dir), "stream_ingest_accepted")
+    return paging.page_rows(store_.logs.scan())
 
 
 @query("stream_ingest_rejects")
 def stream_ingest_rejects(spark, sf_dir):
-    _, rejected = _streamed(spark, sf_dir, "stream_ingest_rejects")
-    return rejected.scan().select("batch_id", "index", "reason")
+    store_ = _streamed(spark, event_logs.bodies_from_events(spark, sf_dir), "stream_ingest_rejects")
+    return store_.rejects.scan().select("batch_id", "index", "reason")
+
+
+@query("stream_ingest_outcomes")
+def stream_ingest_outcomes(spark, sf_dir):
+    """What became of each delivery that a stream took, bodies refused as a whole among them."""
+    store_ = _streamed(spark, event_logs.deliveries_from_events(spark, sf_dir), "stream_ingest_outcomes")
+    return store_.deliveries.scan().select(F.col("batch_id").cast("bigint").alias("batch_id"), "accepted", "rejected", "outcome", "error")
 
 
 @query("stream_ingest_lines")
@@ -564,9 +569,9 @@ def stream_ingest_lines(spark, sf_dir):
     """The same bodies in files of one body per line; ids follow file and line, so they are left out."""
     landing = f"{shared_folder(spark)}/{fresh_name('landing')}"
     event_logs.bodies_from_events(spark, sf_dir).select("raw").write.text(landing)
-    logs, _ = _ingested_by_stream(spark, stream_body_lines(spark, landing), "stream_ingest_lines")
+    store_ = _ingested_by_stream(spark, stream_body_lines(spark, landing), "stream_ingest_lines")
     remove_folder(spark, landing)
-    return paging.page_rows(logs.scan()).drop("id")
+    return paging.page_rows(store_.logs.scan()).drop("id")
 
 
 # --- Through the store, over its day-partitioned table ---
@@ -631,9 +636,56 @@ STORE_CALLS: dict[str, Callable[[LogStore], DataFrame]] = {
 }
 
 
-def _store_query(call: Callable[[LogStore], DataFrame]) -> Query:
-    return lambda spark, sf_dir: call(_store(spark, sf_dir))
+_indexed_stores: dict[tuple[str, str], LogStore] = {}
+
+
+def _indexed_store(spark: SparkSession, sf_dir: str) -> LogStore:
+    """All events in a store with a past, stored once per session.
+
+    Errors came first, then an attribute was promoted; other rows but debug ones followed, all were
+    indexed, one day was compacted, the first two days expired, and debug rows came last, in a load
+    that was repeated and is not indexed.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexed_stores:
+        store_ = LogStore(spark, fresh_name("tallylog"))
+        logs, level = event_logs.logs_from_events(spark, sf_dir), F.col("level")
+        store_.logs.append(logs.where(level == "error"), "errors")
+        store_.promote(["vip"])
+        store_.logs.append(logs.where(level.isin("warn", "info")), "others")
+        store_.index()
+        store_.compact(date(2024, 1, 5))
+        store_.expire(date(2024, 2, 2), days=30)
+        late = logs.where((level == "debug") & (F.col("ts") >= "2024-01-03"))
+        store_.logs.append(late.where(F.col("service") < "svc-3"), "debug")
+        store_.logs.append_missing(late, "debug")
+        _indexed_stores[key] = store_
+    return _indexed_stores[key]
+
+
+UNALIGNED = {"start": "2024-01-03T10:20:30.5Z", "end": "2024-01-29T12:34:56Z"}
+
+INDEXED_CALLS: dict[str, Callable[[LogStore], DataFrame]] = {
+    "store_filter_message_indexed": lambda s: s.export(q="PURCHASE_4"),
+    "store_filter_message_indexed_wildcard": lambda s: s.export(q="err%_4_ 100\\%"),
+    "store_filter_message_indexed_short": lambda s: s.export(q="9 "),
+    "store_filter_attr_promoted": lambda s: s.export(attributes={"vip": "true"}),
+    "store_filter_attr_unpromoted": lambda s: s.export(attributes={"k": "69"}),
+    "store_filter_attr_mixed": lambda s: s.export(attributes={"vip": "false", "k": "69"}, level="error"),
+    "store_agg_1m_rollup": lambda s: s.aggregate(bucket="1m", **MONTH),
+    "store_agg_1m_level_rollup": lambda s: s.aggregate(bucket="1m", group_by="level", service="svc-2", **UNALIGNED),
+    "store_agg_1h_service_rollup": lambda s: s.aggregate(bucket="1h", group_by="service", **UNALIGNED),
+    "store_agg_1d_errors_rollup": lambda s: s.aggregate(bucket="1d", level="error", **UNALIGNED),
+    "store_page_rollup": lambda s: s.page(50, service="svc-3", level="error"),
+    "store_page_rollup_next": lambda s: s.page(cursor=s.query(50, level="warn")["next_cursor"], limit=50, level="warn"),
+}
+
+
+def _store_query(call: Callable[[LogStore], DataFrame], of=_store) -> Query:
+    return lambda spark, sf_dir: call(of(spark, sf_dir))
 
 
 for _name, _call in STORE_CALLS.items():
     query(_name)(_store_query(_call))
+for _name, _call in INDEXED_CALLS.items():
+    query(_name)(_store_query(_call, _indexed_store))

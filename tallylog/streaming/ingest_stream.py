@@ -9,28 +9,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallylog.operators.validation import accepted_entries, rejected_entries, validate
+from tallylog.operators.validation import accepted_entries, batch_outcome, rejected_entries, validate
 from tallylog.session import configure, shared_folder
 from tallylog.sources.envelopes import explode_entries, parse_envelopes
-from tallylog.sources.log_table import LogTable, RejectTable
+from tallylog.sources.log_table import LogTable, OutcomeTable, RejectTable
 
 
 def store(
-    validated: DataFrame, logs: LogTable, rejects: RejectTable, load: str, replay: bool = False
+    validated: DataFrame,
+    logs: LogTable,
+    rejects: RejectTable,
+    load: str,
+    replay: bool = False,
+    outcomes: OutcomeTable | None = None,
 ) -> tuple[int, int]:
     """Write accepted and rejected entries; returns how many of each.
 
-    The validated rows are kept for the second write, on disk where memory is
+    The validated rows are kept for the later writes, on disk where memory is
     short; a lost executor's part is computed again from the source. With
     ``replay`` the load may have been written in part before, and only what is
-    missing is added.
+    missing is added. The outcome of each delivery is written last, so one that has an
+    outcome is stored as a whole.
     """
     validated = validated.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         accepted, rejected = accepted_entries(validated), rejected_entries(validated)
         if replay:
-            return logs.append_missing(accepted, load), rejects.append_missing(rejected, load)
-        return logs.append(accepted, load), rejects.append(rejected, load)
+            counts = logs.append_missing(accepted, load), rejects.append_missing(rejected, load)
+        else:
+            counts = logs.append(accepted, load), rejects.append(rejected, load)
+        if outcomes is not None:
+            made = batch_outcome(validated).withColumn("batch_id", F.col("batch_id").cast("string"))
+            outcomes.append_missing(made, load) if replay else outcomes.append(made, load)
+        return counts
     finally:
         validated.unpersist()
 
@@ -44,10 +55,11 @@ def start_ingest(
     checkpoint: str | None = None,
     available_now: bool = False,
     interval: str = "10 seconds",
+    outcomes: OutcomeTable | None = None,
 ) -> StreamingQuery:
-    """Start a stream from ``batch_id, raw`` bodies into the two tables.
+    """Start a stream from ``batch_id, raw`` bodies into the tables.
 
-    A micro-batch counts as done only after both writes; its number is then
+    A micro-batch counts as done only after all writes; its number is then
     committed. After a restart the first micro-batch may be one that was cut
     short, so it adds only what is missing; the ones after it cannot be, and
     are appended without looking at the table. Validation runs in the stream's
@@ -63,7 +75,7 @@ def start_ingest(
     first = [True]
 
     def write(batch: DataFrame, number: int) -> None:
-        store(batch, logs, rejects, load=f"{name}/{number:012d}", replay=first[0])
+        store(batch, logs, rejects, load=f"{name}/{number:012d}", replay=first[0], outcomes=outcomes)
         first[0] = False
 
     writer = (
