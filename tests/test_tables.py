@@ -226,3 +226,56 @@ def test_empty_store(spark, new_store):
     assert store.aggregate(start="2024-01-01", end="2024-01-02", bucket="1m").collect() == []
     assert store.expire(date(2024, 3, 1)) == []
     assert LogFilter().apply(store.logs.scan()).count() == 0
+
+
+def test_outcomes_are_stored_once(spark, new_store):
+    store, now = new_store(), parse_iso_text(AS_OF)
+    bodies = spark.createDataFrame(
+        [(1, '{"logs":[{"timestamp":"2024-01-01","level":"info","service":"s","message":"m"}, 3]}'), (2, "[]"), (3, '{"logs":[7]}')],
+        "batch_id int, raw string",
+    )
+    for _ in range(2):
+        store.ingest(bodies, as_of=now, load="x")
+    refused = "request body must be a JSON object with a non-empty 'logs' array"
+    rows = store.deliveries.scan().select("batch_id", "accepted", "rejected", "outcome", "error").collect()
+    assert sorted(map(tuple, rows)) == [
+        ("1", 1, 1, "accepted", None),
+        ("2", 0, 0, "refused", refused),
+        ("3", 0, 1, "refused", None),
+    ]
+
+
+def test_outcome_gives_the_real_reason(spark, new_store):
+    deep = '{"logs":[' + "[" * 2000 + "]" * 2000 + "]}"
+    bodies = spark.createDataFrame([(1, deep)], "batch_id int, raw string")
+    store = new_store()
+    store.ingest(bodies)
+    outcome = store.outcomes(bodies).first()
+    assert outcome.error == store.rejects.scan().first().reason
+    assert outcome.error.startswith("request body exceeds a limit")
+
+
+def test_small_files_are_compacted_by_plan(spark, new_store, log_rows):
+    store = new_store()
+    for number in range(3):
+        store.logs.append(log_rows([(number, "2024-01-01", "s"), (10 + number, f"2024-01-0{2 + number}", "s")]), f"l{number}")
+        store.ingest(spark.createDataFrame([(number, "no")], "n int, raw string").withColumnRenamed("n", "batch_id"))
+    far = date(2999, 1, 1)
+    assert store.compact_small(date(2024, 1, 1), least_files=3)["logs"] == []
+    done = store.compact_small(far, least_files=3)
+    assert done["logs"] == [date(2024, 1, 1)]
+    assert len(done["rejects"]) == len(done["outcomes"]) == 1
+    for table, rows in ((store.logs, 6), (store.rejects, 3), (store.deliveries, 3)):
+        assert table.scan().count() == rows
+    files = store.rejects.scan().select("_metadata.file_path").distinct().count()
+    assert files == 1
+    assert store.compact_small(far, least_files=3) == {"logs": [], "rejects": [], "outcomes": []}
+
+
+def test_reports_expire(spark, new_store):
+    store = new_store()
+    store.ingest(spark.createDataFrame([(1, "no")], "batch_id int, raw string"), as_of=parse_iso_text("2024-01-01"))
+    store.ingest(spark.createDataFrame([(2, "no")], "batch_id int, raw string"), as_of=parse_iso_text("2024-03-01"))
+    assert store.expire(date(2024, 3, 2), days=30) == []
+    assert [r.batch_id for r in store.rejects.scan().collect()] == ["2"]
+    assert [r.batch_id for r in store.deliveries.scan().collect()] == ["2"]
