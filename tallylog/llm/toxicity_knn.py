@@ -1,29 +1,27 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Each document is searched twice, and gets the larger score. The search by words takes all
-words of the labelled examples, whatever their label, so a copy of an example always finds
-it. It sums the posting lists of the document's words. The search by markers takes words and
-their first letters that mark toxic examples (by likelihood ratio over the sample of labelled
-rows); among all words these few weigh too little to draw toxic texts together. Document
-frequencies of both are counted over all documents.
-
-The examples' marker vectors form a block-max inverted index: each posting list is cut at
-blocks of examples, and the largest weight of each list in each block bounds what the block
-can score. Blocks are visited from the highest bound down until no block can reach the k-th
-best. The k nearest are exact in both searches.
-
-Votes weigh by squared similarity, against a prior of one vote; examples count by how many
-labelled rows each stands for, so the score is the share of toxic rows among neighbours. The
-search by words takes the share at the depth, from one to k neighbours, where it is largest,
-so that many distant neighbours can't outvote the text that a document was copied from.
-
-Fixed bounds: the indexes hold at most ``TOXIC + CLEAN`` examples, and the one of markers
-``VOCABULARY`` terms. Held-out rows (crc32 of the id, mod 5, is 0) give no labels.
-
-Defined cases: null and empty texts, and others without a word of any example, get the
-share of toxic rows among examples without markers; without toxic labels every score is 0;
-equal texts get equal scores; ids may be null or repeat; equally near examples are taken
-in index order; an empty table gives an empty result.
+Texts are vectors over all words of the labelled examples. A word weighs by its inverse document
+frequency, counted over all documents, times its relevance: G / (G + 50), where G is the likelihood
+ratio of the word and the label over the examples. So words that come with either label draw texts
+together, others weigh little but are all compared, and a copy of an example has cosine 1.
+
+The examples form a block-max inverted index: each posting list is cut at blocks of examples, and the
+largest weight of each list in each block bounds what the block can score. The blocks with the highest
+bounds are scored first, then all that can still reach the k-th best; the k nearest are exact.
+
+Votes weigh by inverse distance, and by how many labelled rows an example stands for. The share of
+toxic votes is calibrated by one increasing logistic curve, fitted to the examples' own shares when
+each is searched among the others. The evidence are the k examples that voted, and their cosines.
+
+Fixed bound: the index holds at most ``TOXIC + CLEAN`` examples, all their words included. Held-out
+rows (crc32 of the id, mod 5, is 0) give no labels.
+
+Defined cases: null and empty texts, and others without a word of any example, get the calibrated
+share of toxic rows among all; without toxic labels every score is 0, without clean ones the calibrated
+share is that of the votes; equal texts get equal scores; ids may be null or repeat, and of several texts
+with one labelled id the first in order is the example; equally near examples are taken in index order;
+very long texts are read in pieces cut at white space, which no word spans; an empty table gives an
+empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,31 +32,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylog.llm.batches import bounded_batches
 from tallylog.llm.common import ROW, held_out, labelled_sample, stored, text_pieces, whole_text, with_rows
 
-TOXIC, CLEAN, VOCABULARY = 3000, 6000, 1000
-LEAST_RATIO, LEAST_ODDS, LEAST_EXAMPLES = 16.0, 20.0, 3
-NEIGHBOURS, PRIOR_VOTES, THRESHOLD = 15, 1.0, 0.5
-BLOCK = 64
-PREFIXES = (4, 5, 6)
-#: Distinct words a task remembers; the table starts anew when it is full.
-CACHED = 400_000
-
-#: Columns of term vectors: markers and words, each with its counts.
-VECTORS = ("ids", "counts", "word_ids", "word_counts")
+TOXIC, CLEAN = 2000, 4000
+NEIGHBOURS, NEAREST_DISTANCE, RELEVANCE, THRESHOLD = 15, 0.02, 50.0, 0.5
+BLOCK, FIRST_BLOCKS = 64, 4
+#: Scored vectors a task remembers, for texts that repeat; the table starts anew when it is full.
+CACHED = 20_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_terms(word: str) -> list[str]:
-    """A lower-case word, marked, and its first letters."""
-    return ["=" + word, *(word[:n] for n in PREFIXES if len(word) > n)]
-
-
 def word_counts(text: str) -> Counter:
     counts: Counter = Counter()
     for piece in text_pieces(text):
@@ -66,256 +54,245 @@ def word_counts(text: str) -> Counter:
     return counts
 
 
-def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        terms = [
-            sorted({t for word in word_counts(text or "") for t in word_terms(word)})
-            for text in batch.column("text").to_pylist()
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), pa.array(terms, pa.list_(pa.string()))], ["label", "terms"]
-        )
-
+        counts = [sorted(word_counts(text or "").items()) for text in batch.column("text").to_pylist()]
+        words = pa.array([[w for w, _ in c] for c in counts], pa.list_(pa.string()))
+        numbers = pa.array([[n for _, n in c] for c in counts], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), words, numbers], ["doc_id", "label", "words", "counts"])
 
-def example_terms(examples: DataFrame) -> DataFrame:
-    """``label`` and ``terms`` (stored) of each example; ``examples`` has ``label`` and ``text``."""
-    return stored(examples.select("label", "text").mapInArrow(_example_terms, "label int, terms array<string>"))
 
+class Vocabulary:
+    """Numbers of the examples' words."""
 
-def all_words(seen: DataFrame) -> list[str]:
-    """The words of the examples, in order; ``seen`` are their terms."""
-    terms = seen.select(F.explode("terms").alias("term")).where(F.col("term").startswith("="))
-    return sorted(terms.select(F.substring("term", 2, 2**31 - 1).alias("word")).distinct().toArrow()["word"].to_pylist())
+    def __init__(self, words: list[str]):
+        self.number = {word: i for i, word in enumerate(words)}
 
-
-def vocabulary(seen: DataFrame) -> list[str]:
-    """Terms that mark toxic examples, best first; ``seen`` are the examples' terms."""
-    sizes = {row["label"]: row["n"] for row in seen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not toxic:
-        return []
-    counts = (
-        seen.select("label", F.explode("terms").alias("term"))
-        .groupBy("term")
-        .agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-        .where(F.col("a") >= LEAST_EXAMPLES)
-    )
-    a, b = F.col("a"), F.col("b")
-    share = (a + b) / float(toxic + clean)
-
-    def part(observed, expected):
-        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
-
-    ratio = 2 * (
-        part(a, toxic * share)
-        + part(b, clean * share)
-        + part(toxic - a, toxic * (1 - share))
-        + part(clean - b, clean * (1 - share))
-    )
-    odds = (a / float(toxic)) / ((b + 0.5) / float(max(clean, 1)))
-    best = (
-        counts.withColumn("ratio", ratio)
-        .where((F.col("ratio") >= LEAST_RATIO) & (odds > LEAST_ODDS))
-        .orderBy(F.col("ratio").desc(), "term")
-        .limit(VOCABULARY)
-    )
-    return [row["term"] for row in best.select("term").collect()]
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of the words of a text that are known, by number."""
+        found = sorted((i, n) for word, n in word_counts(text).items() if (i := self.number.get(word)) is not None)
+        ids, counts = np.array(found, np.int64).reshape(-1, 2).T
+        return ids, counts
 
 
-def _vectors(shipped):
+def _frequencies(shipped, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        markers, words = shipped.value
-        known: dict[str, tuple[int, ...]] = {}
+        vocabulary, found = Vocabulary(shipped.value), np.zeros(size, np.int64)
         for batch in batches:
-            rows = []
             for text in batch.column("text").to_pylist():
-                found: Counter = Counter()
-                own_words = []
-                for word, n in word_counts(text).items():
-                    at = known.get(word)
-                    if at is None:
-                        if len(known) >= CACHED:
-                            known.clear()
-                        at = known[word] = tuple(markers[t] for t in word_terms(word) if t in markers)
-                    for i in at:
-                        found[i] += n
-                    i = words.get(word)
-                    if i is not None:
-                        own_words.append((i, n))
-                own, own_words = sorted(found), sorted(own_words)
-                rows.append((own, [found[i] for i in own], [i for i, _ in own_words], [n for _, n in own_words]))
-            lists = [pa.array([row[k] for row in rows], pa.list_(pa.int32())) for k in range(len(VECTORS))]
-            yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), *lists], [ROW, "doc_id", *VECTORS])
+                found[vocabulary.vector(text)[0]] += 1
+        ids = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found[ids])], ["i", "n"])
 
     return run
 
 
-def term_vectors(docs: DataFrame, markers: list[str], words: list[str]) -> DataFrame:
-    """Row number, doc_id, and the markers and words of each document with their counts."""
-    rows = with_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")))
-    places = tuple({t: i for i, t in enumerate(terms)} for terms in (markers, words))
-    shipped = docs.sparkSession.sparkContext.broadcast(places)
-    return rows.mapInArrow(_vectors(shipped), f"{ROW} long, doc_id long, " + ", ".join(f"{n} array<int>" for n in VECTORS))
-
-
 class BlockMaxIndex:
     """Inverted index over unit vectors, with the largest weight of each list in each block."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
-        n_blocks = -(-self.n // block)
+        self.n_blocks = -(-self.n // block)
         terms = np.concatenate([ids for ids, _ in vectors] or [np.empty(0, np.int64)])
         owners = np.repeat(np.arange(self.n), [len(ids) for ids, _ in vectors])
         weights = np.concatenate([w for _, w in vectors] or [np.empty(0)])
         order = np.lexsort((owners, terms))
-        terms, self.owners, self.weights = terms[order], owners[order], weights[order]
-        cells = terms * n_blocks + self.owners // block
-        self.starts = np.searchsorted(cells, np.arange(n_terms * n_blocks + 1))
-        self.n_blocks = n_blocks
-        self.largest = np.zeros(n_terms * n_blocks)
-        np.maximum.at(self.largest, cells, self.weights)
-        self.largest = self.largest.reshape(n_terms, n_blocks)
-
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest positive products, largest first, and the products."""
-        if not len(ids) or not self.n:
-            return np.empty(0, np.int64), np.empty(0)
-        bounds = weights @ self.largest[ids]
-        best, products, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for at in np.argsort(-bounds, kind="stable"):
-            if bounds[at] <= 0 or (len(best) == k and bounds[at] < least - 1e-9):
-                break
-            sums = np.zeros(self.block)
-            for term, weight in zip(ids, weights, strict=True):
-                cell = term * self.n_blocks + at
-                own = slice(self.starts[cell], self.starts[cell + 1])
-                sums[self.owners[own] - at * self.block] += weight * self.weights[own]
-            found = np.flatnonzero(sums)
-            best = np.concatenate((best, found + at * self.block))
-            products = np.concatenate((products, sums[found]))
-            chosen = np.lexsort((best, -np.round(products, 9)))[:k]
-            best, products = best[chosen], products[chosen]
-            least = products[-1] if len(best) == k else 0.0
-        return best, products
-
-
-class PostingIndex:
-    """Inverted index over unit vectors with many terms; a search sums all its terms' lists."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.n = len(vectors)
-        terms = np.concatenate([ids for ids, _ in vectors] or [np.empty(0, np.int64)])
-        owners = np.repeat(np.arange(self.n, dtype=np.int32), [len(ids) for ids, _ in vectors])
-        order = np.argsort(terms, kind="stable")
-        self.owners = owners[order]
-        self.weights = np.concatenate([w for _, w in vectors] or [np.empty(0)])[order]
-        self.starts = np.searchsorted(terms[order], np.arange(n_terms + 1))
-
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest positive products, largest first, and the products."""
-        if not len(ids) or not self.n:
-            return np.empty(0, np.int64), np.empty(0)
-        starts, lengths = self.starts[ids], self.starts[ids + 1] - self.starts[ids]
+        terms, self.owners, self.weights = terms[order], owners[order].astype(np.int32), weights[order]
+        self.starts = np.searchsorted(terms, np.arange(n_terms + 1))
+        # Cells: the part of a list in a block, with its largest weight.
+        cells = terms * self.n_blocks + self.owners // block
+        firsts = np.flatnonzero(np.diff(cells, prepend=-1))
+        self.cell_blocks = (cells[firsts] % self.n_blocks).astype(np.int32) if len(cells) else np.empty(0, np.int32)
+        self.largest = np.maximum.reduceat(self.weights, firsts) if len(firsts) else np.empty(0)
+        self.cell_firsts = np.append(firsts, len(cells))
+        self.cell_starts = np.searchsorted(terms[firsts], np.arange(n_terms + 1))
+
+    @staticmethod
+    def _summed(starts, ends, weights, owners, values, size) -> np.ndarray:
+        """Sums per owner of the values in the ranges, each times its range's weight."""
+        lengths = ends - starts
         places = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
         places += np.arange(len(places))
-        sums = np.bincount(self.owners[places], self.weights[places] * np.repeat(weights, lengths), self.n)
+        return np.bincount(owners[places], values[places] * np.repeat(weights, lengths), size)
+
+    def _scores(self, ids: np.ndarray, weights: np.ndarray, blocks: np.ndarray | None) -> np.ndarray:
+        """Products with all examples; with those of other blocks left out if blocks are given."""
+        if blocks is None:
+            return self._summed(self.starts[ids], self.starts[ids + 1], weights, self.owners, self.weights, self.n)
+        chosen = np.zeros(self.n_blocks, bool)
+        chosen[blocks] = True
+        starts, ends = self.cell_starts[ids], self.cell_starts[ids + 1]
+        lengths = ends - starts
+        cells = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        own = chosen[self.cell_blocks[cells]]
+        cells, weights = cells[own], np.repeat(weights, lengths)[own]
+        return self._summed(self.cell_firsts[cells], self.cell_firsts[cells + 1], weights, self.owners, self.weights, self.n)
+
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples with the largest positive products, largest first, and the products.
+
+        ``without`` is an example to leave out.
+        """
+        if not len(ids) or not self.n:
+            return np.empty(0, np.int64), np.empty(0)
+        bounds = self._summed(
+            self.cell_starts[ids], self.cell_starts[ids + 1], weights, self.cell_blocks, self.largest, self.n_blocks
+        )
+        order = np.argsort(-bounds, kind="stable")
+        products = self._best(self._scores(ids, weights, order[:FIRST_BLOCKS]), k, without)
+        least = products[1][-1] if len(products[0]) == k else 0.0
+        reach = order[(bounds[order] > 0) & (bounds[order] >= least - 1e-9)]
+        if len(reach) <= FIRST_BLOCKS and set(reach) <= set(order[:FIRST_BLOCKS]):
+            return products
+        blocks = np.union1d(reach, order[:FIRST_BLOCKS])
+        return self._best(self._scores(ids, weights, blocks if 2 * len(blocks) < self.n_blocks else None), k, without)
+
+    @staticmethod
+    def _best(sums: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
         sums = np.round(sums, 9)
-        best = np.flatnonzero(sums >= np.partition(sums, -k)[-k]) if self.n > k else np.arange(self.n)
+        if without >= 0:
+            sums[without] = 0.0
+        best = np.flatnonzero(sums >= np.partition(sums, -k)[-k]) if len(sums) > k else np.arange(len(sums))
         best = best[sums[best] > 0]
         best = best[np.argsort(-sums[best], kind="stable")][:k]
         return best, sums[best]
 
 
-class Voter:
-    """What the tasks need: an index, the labels and ids of its examples, idf and priors.
+def _entropy_part(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(observed > 0, observed * np.log(observed / expected), 0.0)
+
 
-    ``examples`` are doc_id, label, and the term ids and counts.
+def relevance(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """From 0 to 1: how surely a word's rate differs between toxic and clean examples.
+
+    1 for all words if there are examples of one label only.
     """
+    if not n_toxic or not n_clean:
+        return np.ones(len(toxic))
+    share = (toxic + clean) / (n_toxic + n_clean)
+    ratio = 2 * (
+        _entropy_part(toxic, n_toxic * share)
+        + _entropy_part(clean, n_clean * share)
+        + _entropy_part(n_toxic - toxic, n_toxic * (1 - share))
+        + _entropy_part(n_clean - clean, n_clean * (1 - share))
+    )
+    ratio = np.maximum(ratio, 1e-3)
+    return ratio / (ratio + RELEVANCE)
+
+
+def _log_odds(share):
+    share = np.clip(share, 1e-3, 1 - 1e-3)
+    return np.log(share / (1 - share))
+
+
+def calibration(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Slope (positive) and offset of the logistic curve that fits the labels best; 1 and 0 for one label."""
+    if len(set(labels.tolist())) < 2:
+        return 1.0, 0.0
+    x = _log_odds(shares)
+    ones, zeros = weights[labels == 1].sum(), weights[labels == 0].sum()
+    target = np.where(labels == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    design = np.stack((x, np.ones_like(x)), axis=1)
+    at = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-design @ at))
+        gradient = design.T @ (weights * (p - target))
+        curve = (design * (weights * p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(2)
+        step = np.linalg.solve(curve, gradient)
+        at = at - np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
 
-    def __init__(self, examples: list[tuple], n_class: dict[int, int], idf: np.ndarray, index=BlockMaxIndex):
-        self.idf = idf
-        examples = sorted(examples, key=lambda e: (e[1], list(e[2][:1]), e[0]))
-        with_terms = [e for e in examples if len(e[2])]
-        self.index = index([self.unit(ids, counts) for _, _, ids, counts in with_terms], len(idf))
-        self.labels = np.array([e[1] for e in with_terms], np.int64)
-        self.ids = np.array([e[0] for e in with_terms], np.int64)
-        used = Counter(e[1] for e in examples)
-        stands_for = {c: n_class[c] / used[c] for c in used}
-        heaviest = stands_for.get(1, 1.0)
-        self.votes = np.array([stands_for[c] / heaviest for c in self.labels])
-        whole = sum(n_class[c] for c in used)
-        self.prior = n_class.get(1, 0) / whole if whole else 0.0
-        bare = Counter(e[1] for e in examples if not len(e[2]))
-        toxic, rest = bare[1] * stands_for.get(1, 0.0), bare[0] * stands_for.get(0, 0.0)
-        self.without_terms = toxic / (toxic + rest) if toxic + rest else self.prior
-
-    def unit(self, ids, counts) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.asarray(ids, np.int64)
-        weights = (1 + np.log(np.asarray(counts, float))) * self.idf[ids]
-        return ids, weights / (np.linalg.norm(weights) or 1.0)
 
-    def score(self, ids, counts) -> tuple[float, list[int], list[float]]:
-        """Score, and the ids and similarities of the nearest examples."""
-        if not len(ids):
-            return self.without_terms, [], []
-        best, shares, products = self.shares(ids, counts)
-        return float(shares[-1]), self.ids[best].tolist(), products.tolist()
+class Voter:
+    """What the tasks need: an index, the labels and ids of its examples, word weights and calibration.
 
-    def shares(self, ids, counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nearest examples, the share of toxic votes among none and the first 1, 2, ... of them, similarities."""
-        best, products = self.index.nearest(*self.unit(ids, counts))
-        votes = products**2 * self.votes[best]
-        toxic, every = (np.cumsum(np.concatenate(([0.0], v))) for v in (votes * self.labels[best], votes))
-        return best, (toxic + PRIOR_VOTES * self.prior) / (every + PRIOR_VOTES), products
+    ``examples`` are doc_id, label, and the word numbers and counts, in index order.
+    """
 
+    def __init__(self, examples: list[tuple], n_class: dict[int, int], idf: np.ndarray):
+        self.labels = np.array([e[1] for e in examples], np.int64)
+        self.ids = np.array([e[0] for e in examples], np.int64)
+        used = Counter(self.labels.tolist())
+        found = [np.bincount(np.concatenate([e[2] for e in examples if e[1] == c] or [np.empty(0, np.int64)]), minlength=len(idf)) for c in (1, 0)]
+        self.weights = idf * relevance(*found, used[1], used[0])
+        self.index = BlockMaxIndex([self.unit(ids, counts) for _, _, ids, counts in examples], len(idf))
+        self.votes = np.array([n_class[c] / used[c] for c in self.labels.tolist()])
+        whole = sum(n_class[c] for c in used)
+        self.prior = n_class.get(1, 0) / whole if used[1] else 0.0
+        self.vectors = [(ids, counts) for _, _, ids, counts in examples]
+        self.slope, self.offset = 1.0, 0.0
 
-class TwoVoters:
-    """The larger score of the search by markers and the search by words."""
+    def own_share(self, at: int) -> float:
+        """The share of toxic votes among the other examples' votes on an example."""
+        return self.share(*self.index.nearest(*self.unit(*self.vectors[at]), without=at))
 
-    def __init__(self, markers: Voter, words: Voter):
-        self.markers, self.words = markers, words
+    def calibrate(self, shares: np.ndarray) -> None:
+        """Fit the curve to the examples' own shares; the vectors are not needed any more."""
+        self.slope, self.offset = calibration(shares, self.labels, self.votes)
+        self.vectors = []
 
-    def score(self, ids, counts, word_ids, word_counts) -> tuple[float, list[int], list[float]]:
-        """Score, and the ids and similarities of the nearest examples of the search that gave it."""
-        by_markers = self.markers.score(ids, counts)
-        if not len(word_ids):
-            return by_markers
-        best, shares, products = self.words.shares(word_ids, word_counts)
-        if not len(best):
-            return by_markers
-        largest = float(shares[1:].max())
-        if largest < by_markers[0] or (largest == by_markers[0] and by_markers[1]):
-            return by_markers
-        return largest, self.words.ids[best].tolist(), products.tolist()
+    def unit(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weights = (1 + np.log(counts)) * self.weights[ids]
+        return ids, weights / (np.linalg.norm(weights) or 1.0)
 
+    def share(self, best: np.ndarray, products: np.ndarray) -> float:
+        """Toxic votes among the votes of the nearest examples, by inverse distance."""
+        votes = self.votes[best] / (1 - np.minimum(products, 1.0) + NEAREST_DISTANCE)
+        every = votes.sum()
+        return float((votes * self.labels[best]).sum() / every) if every else self.prior
 
-def _idf(vectors: DataFrame, ids: str, n_terms: int, rows: int) -> np.ndarray:
-    counted = vectors.select(F.explode(ids).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).toArrow()
-    frequency = np.zeros(n_terms)
-    frequency[counted["i"].to_numpy()] = counted["n"].to_numpy()
-    return np.log((1 + rows) / (1 + frequency)) + 1
+    def score(self, ids: np.ndarray, counts: np.ndarray) -> tuple[float, list[int], list[float]]:
+        """Calibrated score, and the ids and cosines of the examples that voted."""
+        best, products = self.index.nearest(*self.unit(ids, counts))
+        if not self.prior:
+            return 0.0, self.ids[best].tolist(), products.tolist()
+        at = self.slope * _log_odds(self.share(best, products)) + self.offset
+        return float(1 / (1 + np.exp(-at))), self.ids[best].tolist(), products.tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[DataFrame, TwoVoters]:
-    """The term vectors of all documents (stored), and the voters."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[list[str], Voter]:
+    """The words of the examples and the voter. Document frequencies are counted over all documents."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
     sample = stored(labelled_sample(labels, label, {1: TOXIC, 0: CLEAN}))
     n_class = {row["label"]: row["n_class"] for row in sample.select("label", "n_class").distinct().collect()}
-    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    examples = texts.join(F.broadcast(sample.select("doc_id", "label")), "doc_id")
-    seen = example_terms(examples)
-    markers, words = vocabulary(seen), all_words(seen)
-    vectors = stored(term_vectors(docs, markers, words))
-    rows = vectors.count()
-    indexed = vectors.join(F.broadcast(sample.select("doc_id", "label")), "doc_id").dropDuplicates(["doc_id"])
-    found = indexed.select("doc_id", "label", *VECTORS).toArrow()
-    doc_ids, classes = (found[n].to_pylist() for n in ("doc_id", "label"))
+    chosen = texts.join(F.broadcast(sample.select("doc_id", "label")), "doc_id")
+    examples = chosen.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
+    found = examples.mapInArrow(_example_words, "doc_id long, label int, words array<string>, counts array<int>").toArrow()
+    found = found.sort_by([("label", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    words = sorted(set(found["words"].combine_chunks().flatten().to_pylist()))
+    number = {word: i for i, word in enumerate(words)}
+    vectors = []
+    for row in zip(*(found[n].to_pylist() for n in ("doc_id", "label")), found["words"], found["counts"], strict=True):
+        ids = np.array([number[w] for w in row[2].as_py()], np.int64)
+        vectors.append((row[0], row[1], ids, np.array(row[3].as_py(), np.int64)))
+    shipped = spark.sparkContext.broadcast(words)
+    counted = texts.select("text").mapInArrow(_frequencies(shipped, len(words)), "i long, n long")
+    table = counted.groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(len(words))
+    frequency[table["i"].to_numpy()] = table["n"].to_numpy()
+    idf = np.log((1 + docs.count()) / (1 + frequency)) + 1
+    voter = Voter(vectors, n_class, idf)
+    voter.calibrate(_own_shares(spark, voter))
+    return words, voter
+
+
+def _own_shares(spark: SparkSession, voter: Voter) -> np.ndarray:
+    """Each example's share, found by the executors; at most ``TOXIC + CLEAN`` numbers."""
+    shipped = spark.sparkContext.broadcast(voter)
 
-    def voter(terms: list[str], ids: str, counts: str, index) -> Voter:
-        lists = ([x.values.to_numpy() for x in found[n]] for n in (ids, counts))
-        return Voter(list(zip(doc_ids, classes, *lists, strict=True)), n_class, _idf(vectors, ids, len(terms), rows), index)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shares = [shipped.value.own_share(at) for at in batch.column("id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(shares, pa.float64())], ["id", "share"])
 
-    return vectors, TwoVoters(voter(markers, "ids", "counts", BlockMaxIndex), voter(words, "word_ids", "word_counts", PostingIndex))
+    found = spark.range(0, len(voter.ids), 1, 16).mapInArrow(run, "id long, share double").toArrow().sort_by("id")
+    shipped.destroy()
+    return found["share"].to_numpy()
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
@@ -323,14 +300,22 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame
 
     ``evidence_ids`` and ``evidence_similarities`` are the nearest examples, nearest first.
     """
-    vectors, voters = fit(docs, labels, label)
-    shipped = docs.sparkSession.sparkContext.broadcast(voters)
+    words, voter = fit(docs, labels, label)
+    shipped = docs.sparkSession.sparkContext.broadcast((words, voter))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
+        words, own = shipped.value
+        vocabulary, known = Vocabulary(words), {}
         for batch in batches:
-            lists = ([x.values.to_numpy() for x in batch.column(n)] for n in VECTORS)
-            found = [own.score(*row) for row in zip(*lists, strict=True)]
+            found = []
+            for text in batch.column("text").to_pylist():
+                ids, counts = vocabulary.vector(text)
+                key = (ids.tobytes(), counts.tobytes())
+                if key not in known:
+                    if len(known) >= CACHED:
+                        known.clear()
+                    known[key] = own.score(ids, counts)
+                found.append(known[key])
             columns = [
                 pa.array([x[0] for x in found], pa.float64()),
                 pa.array([x[1] for x in found], pa.list_(pa.int64())),
@@ -340,7 +325,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame
 
     names = [ROW, "doc_id", "score", "evidence_ids", "evidence_similarities"]
     kinds = ["long", "long", "double", "array<bigint>", "array<double>"]
-    scored = vectors.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    rows = with_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")))
+    scored = rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
     return scored.select(
         ROW,
         "doc_id",

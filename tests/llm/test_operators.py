@@ -191,21 +191,135 @@ def test_nearest_examples_are_exact():
         assert exact[best] == pytest.approx(products)
 
 
-def test_word_neighbours_are_exact():
+def test_nearest_examples_without_one_and_with_few():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    vectors = [(np.unique(rng.integers(0, 60, 8)), None) for _ in range(200)]
-    vectors = [(ids, np.full(len(ids), len(ids) ** -0.5)) for ids, _ in vectors]
+    vectors = [np.unique(rng.integers(0, 60, 8)) for _ in range(200)]
+    vectors = [(ids, np.full(len(ids), len(ids) ** -0.5)) for ids in vectors]
     dense = np.zeros((200, 60))
     for row, (ids, weights) in zip(dense, vectors, strict=True):
         row[ids] = weights
-    index = toxicity_knn.PostingIndex(vectors, 60)
-    for ids, weights in vectors[:50]:
-        best, products = index.nearest(ids, weights, 10)
-        exact = np.round(dense[:, ids] @ weights, 9)
-        assert best.tolist() == np.argsort(-exact, kind="stable")[:10].tolist()
-        assert products == pytest.approx(exact[best])
+    for block in (1, 7, 64, 500):
+        index = toxicity_knn.BlockMaxIndex(vectors, 60, block=block)
+        for at, (ids, weights) in enumerate(vectors[:40]):
+            exact = np.round(dense[:, ids] @ weights, 9)
+            best, products = index.nearest(ids, weights, 10)
+            assert best.tolist() == np.argsort(-exact, kind="stable")[:10].tolist()
+            assert products == pytest.approx(exact[best])
+            exact[at] = 0
+            assert index.nearest(ids, weights, 10, without=at)[0].tolist() == np.argsort(-exact, kind="stable")[:10].tolist()
+    few = toxicity_knn.BlockMaxIndex(vectors[:3], 60)
+    assert len(few.nearest(*vectors[0], 10)[0]) <= 3
+    assert len(toxicity_knn.BlockMaxIndex([], 60).nearest(*vectors[0], 10)[0]) == 0
+
+
+def plain_toxicity(docs, labels):
+    """Scores by whole vectors of all words and a sort of all cosines, from the rules."""
+    counts = {i: Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for i, t in docs.items()}
+    train = sorted((y, i) for i, y in labels.items() if zlib.crc32(str(i).encode()) % 5)
+    toxic, clean = ([i for y, i in train if y == c] for c in (1, 0))
+    words = {w for _, i in train for w in counts[i]}
+
+    def part(observed, expected):
+        return observed * math.log(observed / expected) if observed else 0.0
+
+    weight = {}
+    for w in words:
+        a, b = sum(w in counts[i] for i in toxic), sum(w in counts[i] for i in clean)
+        share = (a + b) / len(train)
+        ratio = 2 * sum(
+            part(seen, n * share) + part(n - seen, n * (1 - share)) for seen, n in ((a, len(toxic)), (b, len(clean)))
+        )
+        ratio = max(ratio, 1e-3)
+        df = sum(w in c for c in counts.values())
+        weight[w] = (math.log((1 + len(docs)) / (1 + df)) + 1) * ratio / (ratio + 50)
+
+    def unit(i):
+        vector = {w: (1 + math.log(n)) * weight[w] for w, n in counts[i].items() if w in weight}
+        norm = math.sqrt(sum(x * x for x in vector.values())) or 1.0
+        return {w: x / norm for w, x in vector.items()}
+
+    vectors = [unit(i) for _, i in train]
+
+    def share(i, without=None):
+        own = unit(i)
+        found = [(-round(sum(x * v.get(w, 0) for w, x in own.items()), 9), at) for at, v in enumerate(vectors) if at != without]
+        best = sorted(f for f in found if f[0] < 0)[:15]
+        votes = [(1 / (1 + s + 0.02), train[at][0]) for s, at in best]
+        every = sum(v for v, _ in votes)
+        return sum(v * y for v, y in votes) / every if every else len(toxic) / len(train)
+
+    import numpy as np
+
+    own = np.array([share(i, at) for at, (_, i) in enumerate(train)])
+    slope, offset = toxicity_knn.calibration(own, np.array([y for y, _ in train]), np.ones(len(train)))
+
+    def calibrated(x):
+        x = min(max(x, 1e-3), 1 - 1e-3)
+        return 1 / (1 + math.exp(-(slope * math.log(x / (1 - x)) + offset)))
+
+    return {i: calibrated(share(i)) for i in docs}
+
+
+def test_toxicity_equals_brute_force(spark):
+    draw = random.Random(8)
+    common, rare = [f"w{chr(97 + i)}" for i in range(20)], [f"r{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)]
+    docs, labels = {}, {}
+    for i in range(1, 160):
+        toxic = i % 4 == 0
+        words = draw.choices(common, k=draw.randint(0, 12)) + draw.choices(rare, k=draw.randint(0, 4))
+        docs[i] = " ".join(words + ["awful", "vile"][: draw.randint(0, 2)] * toxic)
+        labels[i] = int(toxic)
+    docs[160], docs[161] = None, "unknown"
+    expected = plain_toxicity(docs, {i: y for i, y in labels.items() if i % 3})
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    known = spark.createDataFrame([(i, y) for i, y in labels.items() if i % 3], "doc_id long, toxic int")
+    found = {r.doc_id: r.score for r in toxicity_knn.score(frame, known).collect()}
+    assert found == pytest.approx(expected, abs=1e-6)
+
+
+def test_calibration_is_increasing():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    shares = rng.random(500)
+    labels = (rng.random(500) < shares**2).astype(int)
+    slope, offset = toxicity_knn.calibration(shares, labels, np.ones(500))
+    assert slope > 0 and toxicity_knn.calibration(shares, np.ones(500, int), np.ones(500)) == (1.0, 0.0)
+    assert toxicity_knn.calibration(shares, 1 - labels, np.ones(500)) == (1.0, 0.0)
+
+
+def test_long_texts_in_pieces_give_the_whole(monkeypatch):
+    """With cuts forced, and with the default size and texts of one kind of white space."""
+    import numpy as np
+
+    from tallylog.llm import common
+
+    draw = random.Random(9)
+    words = [draw.choice(["Aa", "b", "b", "9x", "ccc", "dD"]) for _ in range(600_000)]
+    for joiner in (" ", "\t", "\n", "\x0b"):
+        text = joiner.join(words)
+        pieces = list(common.text_pieces(text, 1 << 18))
+        assert "".join(pieces) == text and max(map(len, pieces)) <= 2**19 + 10 and len(pieces) > 3
+    assert list(common.text_pieces("x" * 5000, 100)) == ["x" * 5000]
+    long = " ".join(words) + " " + "end " * 300_000
+    whole = quality_nbsvm.Shapes()._features(long.split())
+    assert len(long) > 2 << 20 and np.array_equal(quality_nbsvm.Shapes().features(long), whole)
+    assert toxicity_knn.word_counts(long) == Counter(re.findall(r"[^\W\d_]+", long.lower()))
+    monkeypatch.setattr(quality_nbsvm, "text_pieces", lambda text: common.text_pieces(text, 3))
+    for _ in range(200):
+        text = " ".join(draw.choice(["A", "b", "b", "9"]) for _ in range(draw.randint(0, 12)))
+        assert np.array_equal(quality_nbsvm.Shapes().features(text), quality_nbsvm.Shapes()._features(text.split()))
+
+
+def test_repeated_labelled_ids_are_one_example(spark):
+    rows = [(1, f"text {i}") for i in range(50)] + [(2, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    words, voter = toxicity_knn.fit(docs, labels)
+    assert voter.ids.tolist() == [2, 1] and words == ["other", "text"]
+    assert quality_nbsvm.score(docs, labels).count() == 51
 
 
 def test_copy_of_toxic_example_without_markers_is_found(spark):
