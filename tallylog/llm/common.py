@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,13 +82,16 @@ def labelled_sample(labels: DataFrame, label: str, most: dict[int, int], seed: i
     return sample
 
 
+_SPACE_AT = re.compile(r"[\x20\x09-\x0D]")
+
+
 def text_pieces(text: str, size: int = 1 << 20):
-    """The text in parts of about ``size`` characters, cut at spaces or line ends."""
+    """The text in parts of about ``size`` characters, cut at the first white space of any kind after that."""
     start = 0
     while len(text) - start > 2 * size:
-        cut = max(text.find(" ", start + size), text.find("\n", start + size))
-        if cut < 0:
+        cut = _SPACE_AT.search(text, start + size)
+        if cut is None:
             break
-        yield text[start:cut]
-        start = cut
+        yield text[start : cut.start()]
+        start = cut.start()
     yield text[start:]

@@ -11,7 +11,9 @@ Fixed bounds: the model is fitted on at most ``LOW + HIGH`` labelled rows of at
 
 Defined cases: null and empty texts have no n-grams and get the score of the bias alone;
 with labels of one class only every score is that class; equal texts get equal scores;
-ids may be null or repeat; other columns are ignored; an empty table gives an empty result.
+ids may be null or repeat, and of several texts with one labelled id the first in order is learned
+from; very long texts are read in pieces with the n-grams of the whole; extra columns are ignored,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ SMOOTHING, COST, ROUNDS = 1.0, 1.0, 30
 #: Distinct words a task remembers; the table starts anew when it is full.
 CACHED = 400_000
 
+#: Words that a piece of a text takes over from the one before: two of an n-gram, and the one before them.
+CARRIED = 3
+
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -64,14 +69,25 @@ class Shapes:
         return code
 
     def features(self, text: str) -> np.ndarray:
-        """Sorted numbers of the n-grams in the text; pieces of a very long text are taken by themselves."""
-        found = [self._features(piece.split()) for piece in text_pieces(text)]
+        """Sorted numbers of the n-grams in the text.
+
+        A very long text is taken in pieces. Each goes on from the last two words of the one before, whose
+        marks need the word before them, so the n-grams are those of the whole text.
+        """
+        found, before, seen = [], [], 0
+        for piece in text_pieces(text):
+            words = before + piece.split()
+            found.append(self._features(words, first=seen <= CARRIED))
+            seen += len(words) - len(before)
+            before = words[-CARRIED:]
         return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
-    def _features(self, words: list[str]) -> np.ndarray:
+    def _features(self, words: list[str], first: bool = True) -> np.ndarray:
+        """The n-grams of the words; unless they are the ``first`` of a text, the first word only marks the next."""
         codes = np.fromiter(map(self._code, words), np.uint64, len(words))
         shapes = (codes & np.uint64(0xFFFFFFFF)) << np.uint64(1)
         shapes[1:] |= (codes[1:] == codes[:-1]).astype(np.uint64)
+        shapes = shapes if first else shapes[1:]
         parts, grams = [], np.zeros(len(shapes), np.uint64)
         for n, mix in enumerate(_MIX):
             if len(shapes) <= n:
@@ -181,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     bounded_batches(docs.sparkSession)
     sample = labelled_sample(labels, label, {0: LOW, 1: HIGH})
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    examples = texts.join(F.broadcast(sample), "doc_id")
+    chosen = texts.join(F.broadcast(sample), "doc_id")
+    examples = chosen.groupBy("doc_id", "label", "n_class").agg(F.min("text").alias("text"))
     rows = examples.mapInArrow(_sample_features, "doc_id long, label int, n_class long, ids array<int>").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], len(r["ids"])))
     found = np.array([r["label"] for r in rows], np.int64)
