@@ -26,38 +26,37 @@ empty result; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylog.llm.batches import bounded_batches
 from tallylog.llm.common import ROW, held_out, labelled_sample, stored, text_pieces, whole_text, with_rows
 
-TOXIC, CLEAN = 2000, 4000
+TOXIC, CLEAN = 1000, 2000
 NEIGHBOURS, NEAREST_DISTANCE, RELEVANCE, THRESHOLD = 15, 0.02, 50.0, 0.5
 BLOCK, FIRST_BLOCKS = 64, 4
 #: Scored vectors a task remembers, for texts that repeat; the table starts anew when it is full.
 CACHED = 20_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: A word is a run of letters; every character beyond ASCII counts as one.
+_SEPARATED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
-def word_counts(text: str) -> Counter:
-    counts: Counter = Counter()
-    for piece in text_pieces(text):
-        counts.update(_WORD.findall(piece.lower()))
-    return counts
+def words_of(text: str) -> list[bytes]:
+    """The lower-case words of a text in UTF-8."""
+    return [w for piece in text_pieces(text) for w in piece.lower().encode("utf-8", "surrogatepass").translate(_SEPARATED).split()]
 
 
 def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts = [sorted(word_counts(text or "").items()) for text in batch.column("text").to_pylist()]
-        words = pa.array([[w for w, _ in c] for c in counts], pa.list_(pa.string()))
+        counts = [sorted(Counter(words_of(text or "")).items()) for text in batch.column("text").to_pylist()]
+        words = pa.array([[w for w, _ in c] for c in counts], pa.list_(pa.binary()))
         numbers = pa.array([[n for _, n in c] for c in counts], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), words, numbers], ["doc_id", "label", "words", "counts"])
 
@@ -65,22 +64,29 @@ def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 class Vocabulary:
     """Numbers of the examples' words."""
 
-    def __init__(self, words: list[str]):
-        self.number = {word: i for i, word in enumerate(words)}
+    def __init__(self, words: list[bytes]):
+        self.words = pa.array(words, pa.binary())
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and counts of the words of a text that are known, by number."""
-        found = sorted((i, n) for word, n in word_counts(text).items() if (i := self.number.get(word)) is not None)
-        ids, counts = np.array(found, np.int64).reshape(-1, 2).T
-        return ids, counts
+    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the numbers and counts of its known words, by number."""
+        split = [words_of(text) for text in texts]
+        lengths = [len(words) for words in split]
+        flat = pa.array([w for words in split for w in words], pa.binary())
+        numbers = pc.index_in(flat, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        owners = np.repeat(np.arange(len(texts)), lengths)
+        known = numbers >= 0
+        size = max(len(self.words), 1)
+        cells, counts = np.unique(owners[known] * size + numbers[known], return_counts=True)
+        ends = np.searchsorted(cells, np.arange(1, len(texts)) * size)
+        return list(zip(np.split(cells % size, ends), np.split(counts, ends), strict=True))
 
 
 def _frequencies(shipped, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, found = Vocabulary(shipped.value), np.zeros(size, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found[vocabulary.vector(text)[0]] += 1
+            for ids, _ in vocabulary.vectors(batch.column("text").to_pylist()):
+                found[ids] += 1
         ids = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found[ids])], ["i", "n"])
 
@@ -108,25 +114,17 @@ class BlockMaxIndex:
         self.cell_starts = np.searchsorted(terms[firsts], np.arange(n_terms + 1))
 
     @staticmethod
-    def _summed(starts, ends, weights, owners, values, size) -> np.ndarray:
-        """Sums per owner of the values in the ranges, each times its range's weight."""
+    def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in all ranges, and the lengths of the ranges."""
         lengths = ends - starts
         places = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
         places += np.arange(len(places))
-        return np.bincount(owners[places], values[places] * np.repeat(weights, lengths), size)
-
-    def _scores(self, ids: np.ndarray, weights: np.ndarray, blocks: np.ndarray | None) -> np.ndarray:
-        """Products with all examples; with those of other blocks left out if blocks are given."""
-        if blocks is None:
-            return self._summed(self.starts[ids], self.starts[ids + 1], weights, self.owners, self.weights, self.n)
-        chosen = np.zeros(self.n_blocks, bool)
-        chosen[blocks] = True
-        starts, ends = self.cell_starts[ids], self.cell_starts[ids + 1]
-        lengths = ends - starts
-        cells = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-        own = chosen[self.cell_blocks[cells]]
-        cells, weights = cells[own], np.repeat(weights, lengths)[own]
-        return self._summed(self.cell_firsts[cells], self.cell_firsts[cells + 1], weights, self.owners, self.weights, self.n)
+        return places, lengths
+
+    def _scores(self, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sums per example over the postings in the ranges, each times its range's weight."""
+        places, lengths = self._ranges(starts, ends)
+        return np.bincount(self.owners[places], self.weights[places] * np.repeat(weights, lengths), self.n)
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the largest positive products, largest first, and the products.
@@ -135,17 +133,28 @@ class BlockMaxIndex:
         """
         if not len(ids) or not self.n:
             return np.empty(0, np.int64), np.empty(0)
-        bounds = self._summed(
-            self.cell_starts[ids], self.cell_starts[ids + 1], weights, self.cell_blocks, self.largest, self.n_blocks
-        )
+        cells, lengths = self._ranges(self.cell_starts[ids], self.cell_starts[ids + 1])
+        blocks, heights = self.cell_blocks[cells], np.repeat(weights, lengths)
+        bounds = np.bincount(blocks, self.largest[cells] * heights, self.n_blocks)
         order = np.argsort(-bounds, kind="stable")
-        products = self._best(self._scores(ids, weights, order[:FIRST_BLOCKS]), k, without)
-        least = products[1][-1] if len(products[0]) == k else 0.0
-        reach = order[(bounds[order] > 0) & (bounds[order] >= least - 1e-9)]
-        if len(reach) <= FIRST_BLOCKS and set(reach) <= set(order[:FIRST_BLOCKS]):
-            return products
-        blocks = np.union1d(reach, order[:FIRST_BLOCKS])
-        return self._best(self._scores(ids, weights, blocks if 2 * len(blocks) < self.n_blocks else None), k, without)
+
+        def of_blocks(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            marked = np.zeros(self.n_blocks, bool)
+            marked[chosen] = True
+            own = marked[blocks]
+            at = cells[own]
+            return self._best(self._scores(self.cell_firsts[at], self.cell_firsts[at + 1], heights[own]), k, without)
+
+        first = order[:FIRST_BLOCKS]
+        best = of_blocks(first)
+        least = best[1][-1] if len(best[0]) == k else 0.0
+        rest = order[FIRST_BLOCKS:]
+        reach = rest[(bounds[rest] > 0) & (bounds[rest] >= least - 1e-9)]
+        if not len(reach):
+            return best
+        if 2 * len(reach) < self.n_blocks:
+            return of_blocks(np.concatenate((first, reach)))
+        return self._best(self._scores(self.starts[ids], self.starts[ids + 1], weights), k, without)
 
     @staticmethod
     def _best(sums: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +262,7 @@ class Voter:
         return float(1 / (1 + np.exp(-at))), self.ids[best].tolist(), products.tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[list[str], Voter]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[list[bytes], Voter]:
     """The words of the examples and the voter. Document frequencies are counted over all documents."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -262,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[list[
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     chosen = texts.join(F.broadcast(sample.select("doc_id", "label")), "doc_id")
     examples = chosen.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
-    found = examples.mapInArrow(_example_words, "doc_id long, label int, words array<string>, counts array<int>").toArrow()
+    found = examples.mapInArrow(_example_words, "doc_id long, label int, words array<binary>, counts array<int>").toArrow()
     found = found.sort_by([("label", "ascending"), ("doc_id", "ascending")]).combine_chunks()
     words = sorted(set(found["words"].combine_chunks().flatten().to_pylist()))
     number = {word: i for i, word in enumerate(words)}
@@ -308,8 +317,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame
         vocabulary, known = Vocabulary(words), {}
         for batch in batches:
             found = []
-            for text in batch.column("text").to_pylist():
-                ids, counts = vocabulary.vector(text)
+            for ids, counts in vocabulary.vectors(batch.column("text").to_pylist()):
                 key = (ids.tobytes(), counts.tobytes())
                 if key not in known:
                     if len(known) >= CACHED:
