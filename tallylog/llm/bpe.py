@@ -6,8 +6,10 @@ a match it has not seen before and looks the others up. Bytes map to characters
 byte table of byte-level BPE; decoding reverses it. A token may hold part of a character:
 its offsets then cover the whole character, and decoding joins bytes before characters.
 
-Defined cases: null and empty texts have no tokens and decode to nothing; ids that repeat
-and other columns don't matter; an empty table gives an empty result.
+Defined cases: null and empty texts have no tokens and decode to nothing; ids may be null or
+repeat; a very long text is encoded in pieces, cut where a match must end, or whole if there is no such place;
+extra columns are ignored, and those to keep must not have the result's names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

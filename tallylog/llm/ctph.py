@@ -11,8 +11,9 @@ A text is read in segments, so memory doesn't grow with its length.
 
 Defined cases: null and empty texts have the fingerprint ``3::`` and are like each other only;
 equal texts have equal fingerprints and likeness 1; of documents with equal ids (or null
-ids, which come last) the order is by text; a single document follows itself; an empty
-table gives an empty result.
+ids, which come last) the order is by text; a single document follows itself; a very
+long text is hashed whole; extra columns are ignored, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ they are identical after each run of white space becomes one space.
 Defined cases: a null text counts as empty; a group of null ids only keeps one row with
 a null ``keep_id``; of rows that repeat id and text exactly one is kept; a text that an
 earlier load holds is dropped in favour of that load's row; an empty table gives an empty
-result; other columns are ignored, whatever their names.
+result; a very long text is normalised and hashed as one value; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ and once more with probability equal to the fraction, drawn from a hash of seed
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in
 order; a null id draws as the text "null"; rows that repeat an id draw alike; a source of
-size 0 has target 0 and is not taken; an empty table gives an empty result.
+size 0 has target 0 and is not taken; a very long text is counted as one value; extra columns, whatever
+their names, don't matter to ``mix`` and go along in ``emit``; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ components don't.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other;
 null ids are never a component's id unless it has no other; repeated rows share a
-component, of which one row is kept; an empty table gives an empty result.
+component, of which one row is kept; a very long text is hashed whole, some hundred bytes of memory per
+word; extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallylog.llm.batches import bounded_batches
 from tallylog.llm.common import LAST, ROW, stored, with_rows
 from tallylog.llm.components import components
 
@@ -73,6 +75,7 @@ def _fingerprint_batches(shingle: int):
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Row number, doc_id and fingerprint ``fp`` of each document."""
+    bounded_batches(docs.sparkSession)
     rows = with_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return rows.mapInArrow(_fingerprint_batches(shingle), f"{ROW} long, doc_id long, fp long")
 

@@ -12,7 +12,8 @@ payload, since an archive is read by one task. They are compressed as a whole, n
 
 Defined cases: a null payload counts as empty; a null page id is written without id and
 comes last among equals; of rows that repeat page id and payload one is the response;
-control characters of a URL are percent-encoded; an empty table writes no records.
+control characters of a URL are percent-encoded; a very long payload is one record, in an archive of its
+own if need be; extra columns are ignored, whatever their names; an empty table writes no records.
 """
 
 from __future__ import annotations

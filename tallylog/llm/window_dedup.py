@@ -16,7 +16,8 @@ documents share is summed per task before it is shuffled, and joins to it can be
 
 Defined cases: a null or empty text has no words; a text of fewer words than a window stays
 whole; a window may repeat in its own document; ids may be null or repeat (rows are told
-apart by number); other columns are ignored; an empty table gives an empty result. ``docs``
+apart by number); a very long text is read in pieces and its windows over the cuts are those of the whole;
+extra columns are ignored, whatever their names; an empty table gives an empty result. ``docs``
 must be a table scan.
 """
 

@@ -65,6 +65,41 @@ def test_last_stage_decodes(spark):
     assert all(r.n_tokens == len(r.ids) for r in found)
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in every column, empty, blank and long texts, repeated rows and extra columns; and no rows."""
+    long = "many words " * 20_000
+    rows = [(1, "one two three four", "en", "a", 18)] * 2 + [(2, None, "en", "b", None), (None, None, None, None, None)]
+    rows += [(3, "", None, None, 0), (4, " \t\n", "en", "c", 3), (5, long, "en", "a", 1), (6, long + "end", "en", "b", 1)]
+    rows += [(1, "another text of that id", "en", "a", 2), (7, "You idiot, you worthless scum! " * 20, "en", "a", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    stages = dict(corpus_pipeline.STAGES)
+    from tallylog.session import fresh_name, shared_folder
+
+    def stage(name, frame):
+        path = f"{shared_folder(spark)}/{fresh_name('odd')}"
+        frame.write.parquet(path)
+        return stages[name](spark, spark.read.parquet(path), SMALL)
+
+    docs = spark.createDataFrame(rows, schema)
+    kept = stage("toxicity", docs)
+    assert sorted(kept.columns) == sorted(docs.columns) and kept.count() >= len(rows) - 1
+    exact = sorted(((r.doc_id, r.text) for r in stage("exact dedup", docs).collect()), key=str)
+    assert len(exact) == 7 and [r for r in exact if r[0] == 1] == [(1, "another text of that id"), (1, "one two three four")]
+    assert {i for i, t in exact if not (t or "").strip()} == {2, 4}
+    near = stage("SimHash near-dedup", docs).collect()
+    assert [r.doc_id for r in near if not (r.text or "").strip()] == [2]
+    assert len([r for r in near if (r.text or "").startswith("many")]) == 1
+    mixed = stage("mixing sources to target weights", docs)
+    assert mixed.columns == docs.columns and {r.text for r in mixed.collect()} <= {r[1] for r in rows}
+    tokens = stage("byte-level BPE encoding and decoding", docs).collect()
+    assert len(tokens) == len(rows) and all(r.n_tokens == 0 for r in tokens if r.doc_id in (2, 3, None))
+    for name in stages:
+        assert stage(name, docs.limit(0)).count() == 0
+        clashing = docs.withColumns({c: docs["lang"] for c in ("_row", "kept", "fp", "score", "source_size", "ids")})
+        if name != "byte-level BPE encoding and decoding":
+            assert stage(name, clashing).columns == clashing.columns
+
+
 def test_pipeline_runs(spark):
     found = corpus_pipeline.run(spark, SMALL)
     assert found.count() > 0 and "ids" in found.columns
