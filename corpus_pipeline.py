@@ -2,6 +2,11 @@
 
 ``run`` writes each stage's result as Parquet under the session's shared folder and reads
 it again as the next stage's input; a stage's files are deleted when the next are written.
+
+Defined cases: null texts count as empty: they get the toxicity score of texts without known words, are equal
+to empty ones for exact dedup and to blank ones for near-dedup, and have no words to mix and no tokens; null ids, sources and languages are kept; repeated
+rows are exact copies; very long texts are worked on whole; extra columns, whatever their names, go along up to
+the last stage, which returns its own; an empty table passes every stage empty.
 """
 
 from __future__ import annotations
