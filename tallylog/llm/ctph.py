@@ -40,7 +40,7 @@ _random = np.random.default_rng(20240607)
 _ROLL = _random.integers(1, 1 << 32, 256, np.uint32)
 _BYTES = _random.integers(1, 1 << 63, 256, np.uint64)
 _ROLL_POWERS = [np.uint32(pow(0x9E3779B1, back, 1 << 32)) for back in range(WINDOW)]
-_POWERS = np.cumprod(np.concatenate(([1], np.full((1 << 16) - 1, 0x9E3779B97F4A7C15, np.uint64))).astype(np.uint64))
+_POWERS = np.cumprod(np.where(np.arange(1 << 16) == 0, np.uint64(1), np.uint64(0x9E3779B97F4A7C15)))
 
 
 def _rolled(data: np.ndarray, before: np.ndarray) -> np.ndarray:
