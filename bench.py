@@ -2,8 +2,9 @@
 
 ``queries`` holds the median seconds of each query over the tables in
 ``BENCH_SF_DIR``, after one warm-up run. ``stored`` holds the same for a stored
-day-partitioned table of ten copies of the events (a million rows at sf0.1), and
-``ingest`` the validation and storage of as many entries.
+day-partitioned table of ten copies of the events (a million rows at sf0.1), ``indexed``
+for the same table once its files are indexed and an attribute promoted, and ``ingest`` the
+validation and storage of as many entries.
 """
 
 from __future__ import annotations
@@ -115,6 +116,22 @@ def main() -> None:
         "export": lambda: consume(store.export()),
     }
     stored.update({name: seconds(call) for name, call in calls.items()})
+    rare = f"purchase_{store.query(q='purchase', limit=1)['logs'][0]['message'].split('_')[1][:4]}"
+    searches = {
+        "search": lambda: store.query(q=rare),
+        "attribute": lambda: consume(store.export(attributes={"vip": "true"}, level="error")),
+    }
+    stored.update({name: seconds(call) for name, call in searches.items()})
+    started = time.perf_counter()
+    indexed = {"files": store.index(), "index": round(time.perf_counter() - started, 3)}
+    store.promote(["vip"])
+    days = store.partitions().select("range_start").collect()
+    started = time.perf_counter()
+    for row in days:
+        store.logs.compact(row.range_start)
+    indexed["compact"] = round(time.perf_counter() - started, 3)
+    store.index()
+    indexed.update({name: seconds(call) for name, call in (calls | searches).items()})
 
     bodies = bodies_from_events(spark, sf_dir).withColumn("copy", copy)
     landing = f"{shared_folder(spark)}/{fresh_name('bodies')}"
@@ -143,7 +160,9 @@ def main() -> None:
         rows = live.logs.scan().count()
         one.coalesce(4).write.mode("append").parquet(arriving)
         started = time.perf_counter()
-        while live.logs.scan().count() == rows and running.isActive and time.perf_counter() - started < 60:
+        while live.logs.scan().count() == rows and time.perf_counter() - started < 60:
+            if not running.isActive:
+                raise running.exception() or RuntimeError("the stream stopped")
             loaded.append(seconds(calls["agg_1h_service"], runs=1, warm_up=False))
         delays.append(round(time.perf_counter() - started, 3))
     running.stop()
@@ -159,6 +178,7 @@ def main() -> None:
                 "queries": timings,
                 "sf": os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf"),
                 "stored": stored,
+                "indexed": indexed,
                 "ingest": ingest,
             }
         )

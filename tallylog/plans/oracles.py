@@ -406,6 +406,10 @@ def all_oracles() -> dict[str, str]:
         "store_filter_time": f"{found['export_ordered']} WHERE {within}",
         "store_partitions": found["partition_inventory"],
         "stream_ingest_lines": f"SELECT * EXCLUDE (id) FROM ({found['stream_ingest_accepted']})",
+        "ingest_renamed": """
+SELECT load, count_if(ok) AS stored, count_if(NOT ok) AS reported
+FROM (SELECT event_id % 20 >= 9 AS ok FROM events), (VALUES ('one'), ('two')) loads (load) GROUP BY load
+""",
         "ingest_repeated": """
 SELECT count_if(ok) AS stored, count_if(ok) AS ids, count_if(NOT ok) AS reported, count_if(ok) AS accepted_1,
        count_if(NOT ok) AS rejected_1, CAST(0 AS BIGINT) AS accepted_2, CAST(0 AS BIGINT) AS rejected_2

@@ -588,6 +588,18 @@ def ingest_repeated(spark, sf_dir):
     return stored.crossJoin(store_.rejects.scan().agg(F.count(F.lit(1)).alias("reported"))).select("*", *counts)
 
 
+@query("ingest_renamed")
+def ingest_renamed(spark, sf_dir):
+    """The same bodies under another load's name: a delivery of its own, stored again."""
+    store_ = LogStore(spark, _new_database(spark, "ingest_renamed"))
+    bodies = event_logs.bodies_from_events(spark, sf_dir)
+    for load in ("one", "two", "two"):
+        store_.ingest(bodies, as_of=_as_of(), load=load)
+    logs = store_.logs.scan().groupBy("load").agg(F.count(F.lit(1)).alias("stored"))
+    rejected = store_.rejects.scan().groupBy("load").agg(F.count(F.lit(1)).alias("reported"))
+    return logs.join(rejected, "load")
+
+
 @query("store_compacted")
 def store_compacted(spark, sf_dir):
     """Two loads, then the first days rewritten: the same rows."""
