@@ -35,6 +35,8 @@ from tallylog.sources.log_table import LogTable, current, write_rows
 FILES_AT_ONCE = 10_000
 #: Trigrams that a task holds before it hands them on.
 HELD_TRIGRAMS = 1 << 20
+#: An hour with more rows than this is narrowed down to its minutes before a page reads it.
+REFINED_ROWS = 100_000
 #: Between messages in the text that trigrams are taken from; no trigram holds it.
 SEPARATOR = "\U0010ffff"
 
@@ -273,7 +275,7 @@ class FileIndex:
 
         Rows of files that are not indexed can only make the page newer. The hours that lie in the
         range as a whole are added up from the newest until they hold a page and one row more, then the
-        minutes of the last of them. At most one row per stored hour is gathered.
+        minutes of the last of them, if it has many rows. At most one row per stored hour is gathered.
         """
         if condition.q or condition.attributes:
             return None
@@ -312,6 +314,8 @@ class FileIndex:
             until = replace(until, start=self._moment_or_none(reached), end=self._moment_or_none(reached + unit))
             if until.start is None or until.end is None:
                 return Bound(limit + 1, None)
+            if row["n"] <= REFINED_ROWS:
+                break
         return Bound(limit + 1, until.start)
 
     @staticmethod

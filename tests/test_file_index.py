@@ -293,7 +293,9 @@ def test_counts_read_no_file_of_whole_days(spark, three_days):
     assert "log_counts" in plan_of(counted) and three_days.logs.name not in plan_of(counted)
 
 
-def test_pages_equal_the_sorted_rows(half_indexed):
+@pytest.mark.parametrize("refined", [0, 100_000])
+def test_pages_equal_the_sorted_rows(half_indexed, monkeypatch, refined):
+    monkeypatch.setattr(file_index, "REFINED_ROWS", refined)
     every = half_indexed.logs.scan().collect()
     for given in [{}, {"service": "a"}, {"level": "error", "service": "b"}, {"start": "2024-01-01T12:34:56Z", "end": "2024-01-09T03:00:00.5Z"}]:
         condition = LogFilter.of(**given)
