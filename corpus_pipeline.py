@@ -16,14 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylog.llm import bpe, exact_dedup, mixing, simhash, toxicity_knn
-from tallylog.llm.common import keep_rows, read, stored
+from tallylog.llm.common import ROW, keep_rows, read, stored
 from tallylog.session import configure, fresh_name, remove_folder, shared_folder
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that aren't toxic."""
+    """The documents that aren't toxic.
+
+    The row numbers are stored before the whole documents are shuffled, so that an executor doesn't hold
+    the scoring's Python workers at their largest and a shuffle's buffers at once.
+    """
     scored = toxicity_knn.score(docs, read(spark, sf_dir, "labels"))
-    return keep_rows(docs, scored.where("predicted = 0"))
+    return keep_rows(docs, stored(scored.where("predicted = 0").select(ROW)))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ NEIGHBOURS, NEAREST_DISTANCE, RELEVANCE, THRESHOLD = 15, 0.02, 50.0, 0.5
 BLOCK, FIRST_BLOCKS = 64, 4
 #: Scored vectors a task remembers, for texts that repeat; the table starts anew when it is full.
 CACHED = 20_000
+#: Characters of text whose words are looked up together.
+LOOKED_UP = 1 << 20
 
 #: A word is a run of letters; every character beyond ASCII counts as one.
 _SEPARATED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -67,16 +70,30 @@ class Vocabulary:
     def __init__(self, words: list[bytes]):
         self.words = pa.array(words, pa.binary())
 
-    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text the numbers and counts of its known words, by number."""
-        split = [words_of(text) for text in texts]
-        lengths = [len(words) for words in split]
-        flat = pa.array([w for words in split for w in words], pa.binary())
+    def _cells(self, split: list[tuple[int, list[bytes]]]) -> np.ndarray:
+        """For each known word its text's place times the number of words, plus its own number."""
+        flat = pa.array([w for _, words in split for w in words], pa.binary())
         numbers = pc.index_in(flat, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
-        owners = np.repeat(np.arange(len(texts)), lengths)
+        owners = np.repeat(np.array([place for place, _ in split], np.int64), [len(words) for _, words in split])
         known = numbers >= 0
+        return owners[known] * max(len(self.words), 1) + numbers[known]
+
+    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the numbers and counts of its known words, by number.
+
+        Words are held of about ``LOOKED_UP`` characters at a time, however long the texts are together.
+        """
+        found, held, length = [], [], 0
+        for place, text in enumerate(texts):
+            for piece in text_pieces(text):
+                held.append((place, words_of(piece)))
+                length += len(piece)
+                if length >= LOOKED_UP:
+                    found.append(self._cells(held))
+                    held, length = [], 0
+        found.append(self._cells(held))
         size = max(len(self.words), 1)
-        cells, counts = np.unique(owners[known] * size + numbers[known], return_counts=True)
+        cells, counts = np.unique(np.concatenate(found), return_counts=True)
         ends = np.searchsorted(cells, np.arange(1, len(texts)) * size)
         return list(zip(np.split(cells % size, ends), np.split(counts, ends), strict=True))
 
@@ -318,7 +335,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame
         for batch in batches:
             found = []
             for ids, counts in vocabulary.vectors(batch.column("text").to_pylist()):
-                key = (ids.tobytes(), counts.tobytes())
+                key = blake2b(ids.tobytes() + counts.tobytes(), digest_size=16).digest()
                 if key not in known:
                     if len(known) >= CACHED:
                         known.clear()

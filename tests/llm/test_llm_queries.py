@@ -105,3 +105,10 @@ def test_pipeline_stages_on_odd_rows(spark):
 def test_pipeline_runs(spark):
     found = corpus_pipeline.run(spark, SMALL)
     assert found.count() > 0 and "ids" in found.columns
+
+
+def test_scores_are_stored_before_whole_documents_are_shuffled(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    kept = corpus_pipeline.toxicity_stage(spark, docs, SMALL)
+    assert "MapInArrow" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert 0 < kept.count() < docs.count()

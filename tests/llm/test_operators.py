@@ -279,6 +279,22 @@ def test_toxicity_equals_brute_force(spark):
     assert found == pytest.approx(expected, abs=1e-6)
 
 
+def test_words_are_looked_up_in_bounded_parts(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randrange(60))) for _ in range(200)] + ["", "a b " * 3000]
+    vocabulary, largest = toxicity_knn.Vocabulary([b"a", b"c", b"h"]), []
+    whole = vocabulary.vectors(texts)
+    cells = toxicity_knn.Vocabulary._cells
+    monkeypatch.setattr(toxicity_knn, "LOOKED_UP", 1000)
+    monkeypatch.setattr(toxicity_knn, "text_pieces", lambda text: (text[i : i + 400] for i in range(0, max(len(text), 1), 400)))
+    monkeypatch.setattr(toxicity_knn.Vocabulary, "_cells", lambda self, split: largest.append(sum(len(w) for _, w in split)) or cells(self, split))
+    parts = vocabulary.vectors(texts)
+    assert max(largest) <= 1400 and len(largest) > 10
+    for text, a, b in zip(texts, whole, parts, strict=True):
+        expected = [(i, n) for i, n in enumerate(text.split().count(w) for w in "ach") if n]
+        assert list(zip(*map(list, a), strict=True)) == list(zip(*map(list, b), strict=True)) == expected
+
+
 def test_calibration_is_increasing():
     import numpy as np
 
