@@ -19,6 +19,9 @@ from tallylog.operators.ingest import insert_if_absent, with_day, with_defaults
 from tallylog.session import checkpointed, shared_folder
 from tallylog.sources.lease import Lease
 
+#: Days whose files a task that writes reports keeps open; rows of more are sorted.
+OPEN_DAYS = 2
+
 _EPOCH = datetime.fromisoformat("1970-01-01T00:00:00+00:00")
 _FIRST = datetime.min.replace(tzinfo=_EPOCH.tzinfo)
 _LAST = datetime.max.replace(tzinfo=_EPOCH.tzinfo)
@@ -76,6 +79,21 @@ def write_rows(rows: DataFrame, table: str, overwrite: bool = False) -> int:
     return written.get["rows"]
 
 
+def write_unsorted(rows: DataFrame, table: str, overwrite: bool = False) -> int:
+    """As :func:`write_rows`, for rows of few days in any order.
+
+    Spark sorts a task's rows by day before it writes them, unless it may keep the files of several days
+    open. Rows of one day need no sort, and their writer then holds no more than a row group.
+    """
+    conf, name = rows.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, str(OPEN_DAYS))
+    try:
+        return write_rows(rows, table, overwrite)
+    finally:
+        conf.set(name, before)
+
+
 def _left_behind(rows: DataFrame, table: str, load: str) -> DataFrame | None:
     """Stored rows of the load in the days of ``rows``; None if there are no rows.
 
@@ -295,7 +313,7 @@ class RejectTable(_Table):
             F.lit(load).alias("load"),
             F.to_date("ingested_at").alias("day"),
         )
-        return write_rows(self._shaped(shaped), self.name)
+        return write_unsorted(self._shaped(shaped), self.name)
 
     def append_missing(self, rows: DataFrame, load: str) -> int:
         """As for logs. The report has no id, and a refused batch has no index."""
@@ -326,7 +344,7 @@ class OutcomeTable(_Table):
 
     def _append(self, outcomes: DataFrame, load: str) -> int:
         days = outcomes.withColumns({"load": F.lit(load), "day": F.to_date("ingested_at")})
-        return write_rows(self._shaped(days.select(*model.OUTCOME_SCHEMA.names)), self.name)
+        return write_unsorted(self._shaped(days.select(*model.OUTCOME_SCHEMA.names)), self.name)
 
     def append_missing(self, outcomes: DataFrame, load: str) -> int:
         """As for logs, by delivery."""

@@ -279,3 +279,27 @@ def test_reports_expire(spark, new_store):
     assert store.expire(date(2024, 3, 2), days=30) == []
     assert [r.batch_id for r in store.rejects.scan().collect()] == ["2"]
     assert [r.batch_id for r in store.deliveries.scan().collect()] == ["2"]
+
+
+def test_reports_of_one_day_are_written_without_a_sort(spark, new_store, monkeypatch):
+    from tallylog.sources import log_table
+
+    store, sorts, write = new_store(), {}, log_table.write_rows
+
+    def watched(rows, table, overwrite=False):
+        rows.createOrReplaceTempView("written_rows")
+        plan = spark.sql(f"EXPLAIN INSERT INTO {table} TABLE written_rows").first()[0]
+        sorts[table.rpartition(".")[2]] = "Sort [" in plan
+        return write(rows, table, overwrite)
+
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    monkeypatch.setattr(log_table, "write_rows", watched)
+    assert store.ingest(bodies_from_events(spark, SMALL), as_of=parse_iso_text(AS_OF)) == (550, 450)
+    # The sort in the plan of the outcomes is their grouping's.
+    assert sorts["logs"] and not sorts["rejects"]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    days = [f"2024-01-{d:02d}" for d in range(1, 8)] * 3
+    rows = spark.createDataFrame([(str(i), i, "r", "x", d) for i, d in enumerate(days)], "batch_id string, index int, reason string, raw string, ingested_at string")
+    assert store.rejects.append(rows.withColumn("ingested_at", F.col("ingested_at").cast("timestamp")), "days") == 21
+    kept = store.rejects.scan().where("load = 'days'").groupBy("day").count().collect()
+    assert sorted((str(r.day), r["count"]) for r in kept) == [(d, 3) for d in sorted(set(days))]
