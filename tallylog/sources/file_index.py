@@ -39,6 +39,8 @@ HELD_TRIGRAMS = 1 << 20
 REFINED_ROWS = 100_000
 #: Between messages in the text that trigrams are taken from; no trigram holds it.
 SEPARATOR = "\U0010ffff"
+#: Rows of counts that a task sorts and writes. They shrink too well in a shuffle for its bytes to bound a task.
+COUNTS_PER_TASK = 250_000
 
 MINUTE, HOUR = 60, 3600
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
@@ -168,7 +170,9 @@ class FileIndex:
         for grain, counts in summed:
             named = counts.withColumns({"build": F.lit(build), "grain": F.lit(grain), "month": F.trunc("day", "month")})
             shaped = named.select("file", "build", "bucket", "service", "level", "n", "day", "grain", "month")
-            write_rows(shaped.hint("rebalance", F.col("month")).sortWithinPartitions(*order), self.counts)
+            parts = -(-shaped.count() // COUNTS_PER_TASK)
+            spread = shaped.repartitionByRange(max(parts, 1), "month", "bucket", "file", "service", "level")
+            write_rows(spread.sortWithinPartitions(*order), self.counts)
         found = rows.select("file", "day", F.lower("message").alias("message")).mapInArrow(
             _file_trigrams, "trigram long, file string, day date"
         )

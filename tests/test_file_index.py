@@ -335,3 +335,16 @@ def test_empty_store_has_no_index(new_store):
     store = new_store()
     assert store.index() == 0 and store.query(q="abc") == {"logs": [], "next_cursor": None}
     assert store.aggregate(bucket="1h", **MONTH).collect() == []
+
+
+def test_counts_are_written_by_tasks_of_bounded_rows(spark, new_store, monkeypatch):
+    monkeypatch.setattr(file_index, "COUNTS_PER_TASK", 50)
+    store = new_store()
+    rows = [(f"2024-01-01T{n // 60:02d}:{n % 60:02d}:00Z", f"s{n % 3}", "info", "m", None) for n in range(600)]
+    store.logs.append(log_frame(spark, rows), "load")
+    store.index()
+    minutes = spark.table(store.files.counts).where("grain = 'minute'")
+    files = [r["count"] for r in minutes.groupBy(F.col("_metadata.file_path").alias("f")).count().collect()]
+    assert sum(files) == 600 and len(files) >= 8 and max(files) <= 150
+    found = store.aggregate(bucket="1m", **MONTH).collect()
+    assert len(found) == 600 and {r["count"] for r in found} == {1}
