@@ -37,7 +37,7 @@ FILES_AT_ONCE = 10_000
 HELD_TRIGRAMS = 1 << 20
 #: An hour with more rows than this is narrowed down to its minutes before a page reads it.
 REFINED_ROWS = 100_000
-#: Between messages in the text that trigrams are taken from; no trigram holds it.
+#: Between texts that trigrams are taken from; no trigram holds it.
 SEPARATOR = "\U0010ffff"
 #: Rows of counts that a task sorts and writes. They shrink too well in a shuffle for its bytes to bound a task.
 COUNTS_PER_TASK = 250_000
@@ -60,6 +60,31 @@ def trigram_codes(text: str) -> np.ndarray:
     return np.unique(codes[inside[:-2] & inside[1:-1] & inside[2:]])
 
 
+def _all_trigrams(texts: pa.Array) -> np.ndarray:
+    """The trigrams of texts, repeats included; none spans two texts."""
+    texts = texts.drop_null()
+    if not len(texts):
+        return np.empty(0, np.int64)
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if ends[-1] == ends[0]:
+        return np.empty(0, np.int64)
+    held = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    if held.max() < 128:
+        points = held.astype(np.int64)
+    else:
+        points = np.frombuffer(held.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum((held & 0xC0) != 0x80)))[ends]
+    inside = np.ones(len(points) + 2, bool)
+    # The last two places of each text start no trigram.
+    for back in (1, 2):
+        inside[np.maximum(ends[1:] - back, ends[:-1])[ends[1:] > ends[:-1]]] = False
+    codes = (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
+    return codes[inside[: len(codes)]]
+
+
 def _file_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``trigram, file, day`` from ``file, day, message``, once per file and task, or a little more often."""
     held: dict[tuple, np.ndarray] = {}
@@ -72,11 +97,13 @@ def _file_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         held.clear()
 
     for batch in batches:
-        messages: dict[tuple, list[str]] = {}
-        for file, day, message in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-            messages.setdefault((file, day), []).append(message)
-        for key, texts in messages.items():
-            codes = trigram_codes(SEPARATOR.join(texts))
+        # A file is of one day.
+        files = batch.column("file").dictionary_encode()
+        owners, messages = files.indices.to_numpy(), batch.column("message")
+        for number, file in enumerate(files.dictionary.to_pylist()):
+            own = np.flatnonzero(owners == number)
+            key = (file, batch.column("day")[int(own[0])].as_py())
+            codes = np.unique(_all_trigrams(messages if len(own) == len(messages) else messages.take(pa.array(own))))
             held[key] = np.union1d(held[key], codes) if key in held else codes
         if sum(map(len, held.values())) > HELD_TRIGRAMS:
             yield from handed_on()

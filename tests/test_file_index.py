@@ -348,3 +348,22 @@ def test_counts_are_written_by_tasks_of_bounded_rows(spark, new_store, monkeypat
     assert sum(files) == 600 and len(files) >= 8 and max(files) <= 150
     found = store.aggregate(bucket="1m", **MONTH).collect()
     assert len(found) == 600 and {r["count"] for r in found} == {1}
+
+
+def test_trigrams_of_a_batch_are_those_of_its_texts():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    for alphabet in ("abc", "aé😀İ"):
+        texts = ["".join(rng.choices(alphabet, k=rng.randrange(7))) for _ in range(200)]
+        files = [f"f{i // 70}" for i in range(200)]
+        columns = [pa.array(files), pa.array([date(2024, 1, 1 + int(f[1:])) for f in files]), pa.array(["cut off", *texts])[1:]]
+        batch = pa.RecordBatch.from_arrays(columns, ["file", "day", "message"])
+        found = {}
+        for made in file_index._file_trigrams(iter([batch.slice(0, 100), batch.slice(100)])):
+            for row in made.to_pylist():
+                found.setdefault((row["file"], row["day"]), []).append(row["trigram"])
+        for n in range(3):
+            own = file_index.SEPARATOR.join(t for t, f in zip(texts, files, strict=True) if f == f"f{n}")
+            assert found[f"f{n}", date(2024, 1, 1 + n)] == trigram_codes(own).tolist()
+    assert len(file_index._all_trigrams(pa.array(["ab", None, "", "abc"]))) == 1
